@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Narrow rows in a file of an intermediate table.
+FILE_ROWS = 50_000
 _OWN: dict[str, str] = {}
 
 
@@ -22,9 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: cuts the lineage and survives lost executors.
+
+    ``rows``: about how many narrow rows it has; they are written in files of some size, not in
+    one for every shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(6, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

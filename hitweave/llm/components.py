@@ -21,17 +21,18 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
+    n = before[0]  # the steps never add to it
     while True:
         # large star: the larger neighbours of a node go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", n)
         edges = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        edges = materialize(edges, "large")
+        edges = materialize(edges, "large", n)
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
-        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least", n)
         joined = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = joined.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
-        edges = materialize(edges, "small")
+        edges = materialize(edges, "small", n)
         now = _state(edges)
         if now == before:
             break

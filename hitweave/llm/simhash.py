@@ -158,7 +158,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS,
     level = fps.select("fp", _bands("fp", 64, n, F.lit(0)).alias("at")).select("fp", "at.route", "at.rest")
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        hot = materialize(rows.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > route_rows), "hot")
+        hot = materialize(rows.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > route_rows), "hot", 0)
         if not hot.limit(1).count():
             return rows, rows, False
         return rows.join(hot.select("route"), "route", "left_anti"), rows.join(hot, "route"), True
@@ -186,10 +186,12 @@ def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS,
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns id_col, ``keep``, fp, component_id for every row of ``df``."""
     rows = materialize(with_fingerprint(df, text_col, (id_col, *keep), shingle), "fingerprints")
-    own = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "own")
-    nodes = materialize(components(near_links(own.select("fp"), max_bits)), "nodes")
+    n = rows.count()
+    own = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "own", n)
+    links = materialize(near_links(own.select("fp"), max_bits), "links", n)
+    nodes = components(links)
     named = own.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = materialize(named, "named")
+    named = materialize(named, "named", n)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "component_id"), "labels")
+    named = materialize(named.join(least, "root").select("fp", "component_id"), "labels", n)
     return rows.join(named, "fp").select(id_col, *keep, "fp", "component_id")
