@@ -197,9 +197,9 @@ def top_k(
         )
         key = ["dim", "shard", "chunk"]
         return (
-            each.select(*key, "id", "vec", "bound")
+            each.select(*(F.col(c).alias(c) for c in (*key, "id", "vec", "bound")))
             .groupBy(*key)
-            .cogroup(held.select(*key, "id", "vec").groupBy(*key))
+            .cogroup(held.select(*(F.col(c).alias(c) for c in (*key, "id", "vec"))).groupBy(*key))
             .applyInArrow(kernel, FOUND)
         )
 
@@ -208,9 +208,8 @@ def top_k(
     if shards > 1:
         found = materialize(found, "topk-seed")
         kth = found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("low")).filter(F.col("n") >= k)
-        bounded = queries.join(kth, queries["id"] == kth["query_id"], "left").select(
-            "id", "vec", "dim", "chunk", F.coalesce("low", F.lit(_LOWEST)).alias("bound")
-        )
+        kth = kth.select(F.col("query_id").alias("id"), "low")
+        bounded = queries.join(kth, "id", "left").select("id", "vec", "dim", "chunk", F.coalesce("low", F.lit(_LOWEST)).alias("bound"))
         found = found.unionByName(wave(bounded, 1, shards))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
