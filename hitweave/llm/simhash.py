@@ -184,7 +184,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS,
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Columns id_col, ``keep``, fp, component_id for every row of ``df``."""
+    """Columns id_col, ``keep``, fp, root (the component's smallest fingerprint) and component_id for every row of ``df``."""
     rows = materialize(with_fingerprint(df, text_col, (id_col, *keep), shingle), "fingerprints")
     n = rows.count()
     own = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "own", n)
@@ -193,5 +193,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     named = own.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named", n)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "component_id"), "labels", n)
-    return rows.join(named, "fp").select(id_col, *keep, "fp", "component_id")
+    named = materialize(named.join(least, "root").select("fp", "root", "component_id"), "labels", n)
+    return rows.join(named, "fp").select(id_col, *keep, "fp", "root", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
+    """One row of each component of near-duplicates, whole: the one with the smallest id (null ids last), of repeated rows any."""
+    names = df.columns
+    own = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
+    rows = df.withColumn("__k1", F.xxhash64(*own)).withColumn("__k2", F.xxhash64(F.lit(1), *own))
+    found = near_duplicates(rows, id_col, text_col, max_bits, shingle, ("__k1", "__k2"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col), "__k1", "__k2")).alias("first")
+    kept = materialize(found.groupBy("root").agg(first).select("first.__k1", "first.__k2"), "kept")
+    # a row is found again by two hashes of id and text: 128 bits
+    return rows.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(names)
