@@ -2,10 +2,513 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hitweave import fixtures, sinks, sources
+from hitweave.model import JOIN_TICKS, SLICE_NS, SLICE_TICKS, WINDOW_TICKS
+from hitweave.operators import analysis, clustering, preprocess, slices, triggers, windows
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+ORDER = ["tick", "lin", "part", "supp", "tot"]
+#: Window width on the dense tracks' and the sparse stream's time scale.
+W2 = WINDOW_TICKS
+
+
+def query(sql: str | None = None, ctes: str = ""):
+    """Registers a query under its function's name; ``sql`` may use f1, f2, e1, e2 and what ``ctes`` adds."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = f"with recursive {fixtures.CTES}{', ' + ctes if ctes else ''} {sql}"
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.calibrate(fixtures.track_hits(spark, sf_dir), fixtures.calibration(spark))
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.calibrate(fixtures.stream_hits(spark, sf_dir), fixtures.calibration(spark))
+
+
+def r4(c):
+    return F.round(c, 4)
+
+
+def r6(c):
+    """For means over a few dozen hits, whose exact fractions can end in a 5 at the fifth place."""
+    return F.round(c, 6)
+
+
+# --- preprocessing -----------------------------------------------------------------------------
+
+
+@query("select lin as linear_coord, toa, fast_toa, tick, lin % 256 as x, lin // 256 as y, tick * cast(1.5625 as double) as toa_ns from f1")
+def hit_ns_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.track_hits(spark, sf_dir).select(F.col("lin").alias("linear_coord"), "toa", "fast_toa", "tot")
+    return preprocess.decode(preprocess.valid(raw)).select("linear_coord", "toa", "fast_toa", "tick", "x", "y", "toa_ns")
+
+
+@query(
+    """select lin as linear_coord, cast(ceil(ns / 25) as bigint) as toa, cast(round((ceil(ns / 25) * 25 - ns) / 1.5625) as int) as fast_toa, 1 as tot
+    from (select lin, tick * cast(1.5625 as double) as ns from f1)"""
+)
+def hit_inverse_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fixtures.track_hits(spark, sf_dir).select("x", "y", (F.col("tick") * F.lit(1.5625)).alias("toa_ns"))
+    return preprocess.to_raw(hits)
+
+
+@query("select lin % 256 as x, lin // 256 as y, count(*) as hits, cast(sum(tot) as bigint) as tot from f1 group by all")
+def pixel_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.track_hits(spark, sf_dir).select(F.col("lin").alias("linear_coord"), "toa", "fast_toa", "tot")
+    return preprocess.decode(raw).groupBy("x", "y").agg(F.count("*").alias("hits"), F.sum("tot").alias("tot"))
+
+
+@query("select lin, tick, tot, round(e, 4) as e from e1")
+def energy_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracks(spark, sf_dir).select("lin", "tick", "tot", r4("e").alias("e"))
+
+
+_BAD = {"a": "case when (x + y) % 7 = 0 then cast(0 as double) else {v} end", "c": "case when x % 5 = 0 then cast(-100000 as double) else {v} end"}
+
+
+def _bad_energy() -> str:
+    c = {k: f"({_BAD.get(k, '{v}').format(v=v)})" for k, v in fixtures.CALIB.items()}
+    p = f"(-{c['a']} * {c['t']} + {c['b']} - tot)"
+    root = f"({p} * {p} - 4 * {c['a']} * (tot * {c['t']} - {c['b']} * {c['t']} - {c['c']}))"
+    return f"case when {c['a']} = 0 or {root} < 0 then cast(0.1 as double) else greatest((-{p} + sqrt(greatest({root}, 0))) / (2 * {c['a']}), cast(0.1 as double)) end"
+
+
+@query(f"select lin, tick, tot, round(e, 4) as e from (select *, {_bad_energy()} as e from f1)")
+def energy_invalid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calib = fixtures.calibration(spark)
+    calib = calib.withColumn("a", F.when((F.col("x") + F.col("y")) % 7 == 0, 0.0).otherwise(F.col("a")))
+    calib = calib.withColumn("c", F.when(F.col("x") % 5 == 0, -100000.0).otherwise(F.col("c")))
+    return preprocess.calibrate(fixtures.track_hits(spark, sf_dir), calib).select("lin", "tick", "tot", r4("e").alias("e"))
+
+
+@query("select lin, tick, round(cast(tot as double), 4) as e from f1")
+def uncalibrated_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.uncalibrated(fixtures.track_hits(spark, sf_dir)).select("lin", "tick", "e")
+
+
+@query(
+    """select tick, lin, tot, area from (select *, row_number() over (partition by run order by tick, lin, part, supp, tot) as n from (
+      select *, sum(new) over (order by tick, lin, part, supp, tot rows unbounded preceding) as run from (
+        select *, case when lag(area) over (order by tick, lin, part, supp, tot) = area then 0 else 1 end as new
+        from (select *, cast((x // 128) * 2 + y // 128 as int) as area from f1)))) where n <= 3"""
+)
+def faulty_pixel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More than three hits in a row from one quadrant; production uses ten hits and pixels."""
+    area = (F.floor(F.col("x") / 128) * 2 + F.floor(F.col("y") / 128)).cast("int")
+    hits = fixtures.track_hits(spark, sf_dir).withColumn("area", area)
+    return preprocess.drop_faulty(hits, ORDER, repeats=3, pixel="area").select("tick", "lin", "tot", "area")
+
+
+@query("select tick, lin, tot, row_number() over (order by tick, lin, part, supp, tot) as row_no from f1")
+def time_sorted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.time_sorted(fixtures.track_hits(spark, sf_dir), ORDER).select("tick", "lin", "tot", "row_no")
+
+
+@query("select count(*) as hits, cast(sum(toa) as bigint) as toa_sum, cast(sum(fast_toa) as bigint) as fast_sum from f2 where toa >= 0")
+def valid_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.valid(fixtures.stream_hits(spark, sf_dir)).agg(F.count("*").alias("hits"), F.sum("toa").alias("toa_sum"), F.sum("fast_toa").alias("fast_sum"))
+
+
+@query(
+    """select cast(r as int) as repetition, lin, toa + r * (hi - lo) as toa, fast_toa from f1, (select min(toa) as lo, max(toa) as hi from f1), (select unnest(range(3)) as r)"""
+)
+def replay_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fixtures.track_hits(spark, sf_dir).select("lin", "toa", "fast_toa")
+    first, last = raw.agg(F.min("toa"), F.max("toa")).first()
+    return preprocess.replay(raw, 3, first, last).select("repetition", "lin", "toa", "fast_toa")
+
+
+# --- clustering --------------------------------------------------------------------------------
+
+TEMPORAL = """s1 as (select *, case when tick - lag(tick) over (order by tick, lin) < 128 then 0 else 1 end as brk from e1),
+t1 as (select *, sum(brk) over (order by tick, lin rows unbounded preceding) as sid from s1),
+tc as (select *, min(tick * 65536 + y * 256 + x) over (partition by sid) as cluster_id from t1)"""
+
+
+def _spatial(tile: int) -> str:
+    x, y = (f"{c} // {tile}" if tile > 1 else c for c in "xy")
+    return f"""{TEMPORAL}, n as (select distinct sid, {x} as u, {y} as v from t1),
+r as (select sid, u, v, u as pu, v as pv from n union
+      select r.sid, r.u, r.v, n.u, n.v from r join n on n.sid = r.sid and abs(n.u - r.pu) <= 1 and abs(n.v - r.pv) <= 1),
+lab as (select sid, u, v, min(pu * 256 + pv) as comp from r group by all),
+pl as (select t1.*, min(tick * 65536 + y * 256 + x) over (partition by t1.sid, comp) as cluster_id
+       from t1 join lab on lab.sid = t1.sid and lab.u = {x} and lab.v = {y})"""
+
+
+STATS = """select cluster_id, count(*) as hit_count, cast(greatest(max(x) - min(x) + 1, max(y) - min(y) + 1) as bigint) as diameter,
+ (max(tick) - min(tick)) * cast(1.5625 as double) as timespan, round(sum(e), 4) as total_energy, round(avg(x), 4) as center_x, round(avg(y), 4) as center_y from {t} group by cluster_id"""
+
+
+def stats(clustered: DataFrame) -> DataFrame:
+    out = analysis.properties(clustered)
+    return out.withColumns({c: r4(c) for c in ("total_energy", "center_x", "center_y")})
+
+
+@query("select tick, lin, cluster_id from tc", TEMPORAL)
+def temporal_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.temporal(tracks(spark, sf_dir)).select("tick", "lin", "cluster_id")
+
+
+@query(STATS.format(t="tc"), TEMPORAL)
+def temporal_cluster_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.temporal(tracks(spark, sf_dir)))
+
+
+@query(STATS.format(t="pl"), _spatial(1))
+def pixel_list_clusters_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.pixel_list(tracks(spark, sf_dir)))
+
+
+@query(STATS.format(t="pl"), _spatial(4))
+def tiled_clusters_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.pixel_list(tracks(spark, sf_dir), tile=4))
+
+
+TWO_STEP = """g0 as (select *, case when tick - lag(tick) over (order by tick, lin) < 20 then 0 else 1 end as brk from e1),
+g1 as (select *, sum(brk) over (order by tick, lin rows unbounded preceding) as sid from g0),
+g2 as (select *, (least(max(x) over w + 1, 255) - greatest(min(x) over w - 1, 0)) * (least(max(y) over w + 1, 255) - greatest(min(y) over w - 1, 0)) as area
+       from g1 window w as (partition by sid)),
+h as (select distinct sid, tick, x, y from g2 where area > 25),
+hr as (select sid, tick, x, y, tick as pt, x as px, y as py from h union
+       select hr.sid, hr.tick, hr.x, hr.y, h.tick, h.x, h.y from hr join h on h.sid = hr.sid and abs(h.x - hr.px) <= 1 and abs(h.y - hr.py) <= 1 and abs(h.tick - hr.pt) < 20),
+hl as (select sid, tick, x, y, min(pt * 65536 + py * 256 + px) as cluster_id from hr group by all),
+ts as (select g2.*, coalesce(hl.cluster_id, min(g2.tick * 65536 + g2.y * 256 + g2.x) over (partition by g2.sid)) as cluster_id
+       from g2 left join hl on hl.sid = g2.sid and hl.tick = g2.tick and hl.x = g2.x and hl.y = g2.y)"""
+
+
+@query(STATS.format(t="ts"), TWO_STEP)
+def two_step_clusters_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.two_step(tracks(spark, sf_dir)))
+
+
+@query()
+def halo_bb_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twice the energy, so that the tracks have hot hits."""
+    hits = tracks(spark, sf_dir).withColumn("e", F.col("e") * 2)
+    return stats(clustering.halo_boxes(hits))
+
+
+@query(STATS.format(t="(select * from pl where cluster_id in (select cluster_id from pl where e > 70))"), _spatial(1))
+def energy_filtered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.energy_filtered(clustering.pixel_list(tracks(spark, sf_dir))))
+
+
+@query(
+    """select lin, cast(ceil(ns / 25) as bigint) as toa, cast(round((ceil(ns / 25) * 25 - ns) / 1.5625) as int) as fast_toa
+    from (select *, min(tick) over (partition by cluster_id) * cast(1.5625 as double) / 2 + (tick - min(tick) over (partition by cluster_id)) * cast(1.5625 as double) as ns from tc)""",
+    TEMPORAL,
+)
+def replay_freq_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preprocess.scale_frequency(clustering.temporal(tracks(spark, sf_dir)), 2.0).select("lin", "toa", "fast_toa")
+
+
+# --- slices and borders ------------------------------------------------------------------------
+
+
+@query(f"select slice, cast(slice % 4 as int) as lane, count(*) as hits from (select cast(floor(floor(tick * 1.5625 + 0.5) / {SLICE_NS}) as bigint) as slice from f1) group by all")
+def slice_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.slice_of(fixtures.track_hits(spark, sf_dir)).groupBy("slice", "lane").agg(F.count("*").alias("hits"))
+
+
+BOUNDS = """b as (select cluster_id, min(tick) as first_tick, max(tick) as last_tick, count(*) as hit_count,
+ cast(greatest(min(x) - 1, 0) as int) as "left", cast(least(max(x) + 1, 255) as int) as "right",
+ cast(greatest(min(y) - 1, 0) as int) as top, cast(least(max(y) + 1, 255) as int) as bottom from tc group by cluster_id)"""
+
+
+@query(
+    f"""select *, first_tick % {SLICE_TICKS} < 128 or first_tick % {SLICE_TICKS} > {SLICE_TICKS - 128} or last_tick % {SLICE_TICKS} < 128
+    or last_tick % {SLICE_TICKS} > {SLICE_TICKS - 128} or last_tick - first_tick > {SLICE_TICKS} as border from b""",
+    f"{TEMPORAL}, {BOUNDS}",
+)
+def border_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.with_border(slices.cluster_bounds(clustering.temporal(tracks(spark, sf_dir))))
+
+
+@query(
+    f"""select cluster_id, case when ns % {SLICE_NS} < {SLICE_NS // 2} then 0 else 1 end as pipe, cast(floor((ns + {SLICE_NS // 2}) / {SLICE_NS}) as bigint) as border_id
+    from (select *, cast(floor(first_tick * 1.5625 + 0.5) as bigint) as ns from b)""",
+    f"{TEMPORAL}, {BOUNDS}",
+)
+def two_way_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.two_way(slices.cluster_bounds(clustering.temporal(tracks(spark, sf_dir)))).select("cluster_id", "pipe", "border_id")
+
+
+@query(STATS.format(t="pl"), _spatial(1))
+def border_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices clustered by themselves and merged across borders; on these tracks the same as without slices."""
+    return stats(slices.merge_borders(slices.sliced_clusters(tracks(spark, sf_dir))))
+
+
+@query(
+    """select cluster_id, first_tick, lane, row_number() over (order by first_tick, cluster_id) as row_no from (
+    select cluster_id, first_tick, 0 as lane from b where "left" < 128 union all select cluster_id, first_tick, 1 from b where "left" >= 128)""",
+    f"{TEMPORAL}, {BOUNDS}",
+)
+def combined_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = slices.cluster_bounds(clustering.temporal(tracks(spark, sf_dir))).select("cluster_id", "first_tick", "left")
+    parts = [both.filter(F.col("left") < 128).withColumn("lane", F.lit(0)), both.filter(F.col("left") >= 128).withColumn("lane", F.lit(1))]
+    return slices.ranked_union(parts, ["first_tick", "cluster_id"]).select("cluster_id", "first_tick", "lane", "row_no")
+
+
+# --- windows -----------------------------------------------------------------------------------
+
+_EDGES = ", ".join(f"{float(x)}" for x in (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 150, 200, 400, 600, 1000))
+_SD = "case when n < 2 then cast('nan' as double) else sqrt(greatest(cast({c}{c} as double) / n - ({c} / n) * ({c} / n), 0)) end"
+WINDOWS = f"""w0 as (select *, case when tick % {W2} = 0 and tick > 0 and (tick = {W2} or exists (
+    select 1 from e2 q where q.tick // {W2} = e2.tick // {W2} - 1 and q.tick % {W2} > 0)) then tick // {W2} - 1 else tick // {W2} end as win from e2),
+w1 as (select *, case when tick - lag(tick, 1, 0) over (partition by win order by tick, y, x) > 128 then 1 else 0 end as opens,
+       len(list_filter([{_EDGES}], lambda v: v <= e)) as bin from w0),
+w2 as (select win, count(*) as n, sum(e) as se, max(e) as me, cast(sum(x) as double) as x, cast(sum(y) as double) as y, sum(x * x) as xx, sum(y * y) as yy, sum(opens) as c,
+       max(tick) as last_tick from w1 group by win),
+w3 as (select win, win * {W2} * cast(1.5625 as double) as start_toa_ns, x / n as mean_x, y / n as mean_y, {_SD.format(c="x")} as std_x, {_SD.format(c="y")} as std_y,
+       cast(n as double) as hit_count, se as total_energy, greatest(me, 0) as max_energy_hit, cast(case when c > 0 then n // c else 0 end as double) as mean_temp_cluster_size,
+       case when c > 0 then se / c else 0 end as mean_temp_cluster_energy, last_tick from w2),
+spine as (select unnest(range(cast((select max(win) from w3) as bigint))) as win),
+w4 as (select spine.win, spine.win * {W2} * cast(1.5625 as double) as start_toa_ns, coalesce(mean_x, cast('nan' as double)) as mean_x, coalesce(mean_y, cast('nan' as double)) as mean_y,
+       coalesce(std_x, cast('nan' as double)) as std_x, coalesce(std_y, cast('nan' as double)) as std_y, coalesce(hit_count, 0) as hit_count, coalesce(total_energy, 0) as total_energy,
+       coalesce(max_energy_hit, 0) as max_energy_hit, coalesce(mean_temp_cluster_size, 0) as mean_temp_cluster_size,
+       coalesce(mean_temp_cluster_energy, 0) as mean_temp_cluster_energy from spine left join w3 on w3.win = spine.win)"""
+_ROUNDED = ", ".join(f"round({c}, 6) as {c}" for c in ("mean_x", "mean_y", "std_x", "std_y", "hit_count", "total_energy", "max_energy_hit", "mean_temp_cluster_size", "mean_temp_cluster_energy"))
+
+
+def _rounded(df: DataFrame) -> list:
+    return [r6(c).alias(c) for c in windows.SCALARS]
+
+
+@query(f"select win, start_toa_ns, {_ROUNDED}, last_tick from w3", WINDOWS)
+def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.aggregate(windows.assign(stream(spark, sf_dir)))
+    return out.select("win", "start_toa_ns", *_rounded(out), "last_tick")
+
+
+@query(
+    """select w1.win, cast(b.bin as int) as bin, round(count(*) filter (w1.bin = b.bin) / count(*), 6) as share
+    from w1, (select unnest(range(17)) as bin) b group by w1.win, b.bin""",
+    WINDOWS,
+)
+def window_energy_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.histogram_long(windows.aggregate(windows.assign(stream(spark, sf_dir))))
+    return out.select("win", "bin", r6("share").alias("share"))
+
+
+@query("select max(hit_count) * 1e9 / 2e8 as max_frequency from w4", WINDOWS)
+def window_max_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.max_frequency(windows.features(stream(spark, sf_dir)))
+
+
+@query(f"select win, start_toa_ns, {_ROUNDED} from w4", WINDOWS)
+def window_empty_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.features(stream(spark, sf_dir))
+    return out.select("win", "start_toa_ns", *_rounded(out))
+
+
+_EMPTY = {c: "cast('nan' as double)" if c in ("mean_x", "mean_y", "std_x", "std_y") else "cast(0 as double)" for c in windows.SCALARS}
+_MEDIANS = ", ".join(
+    f"round({c} - list_sort(list_concat(list({c}) over h, [{_EMPTY[c]} for i in range(greatest(5 - win, 0))]))[3], 6) as {c}" for c in windows.SCALARS
+)
+
+
+@query(f"select win, start_toa_ns, {_MEDIANS} from w4 window h as (order by win rows between 5 preceding and 1 preceding)", WINDOWS)
+def window_median_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.median_difference(windows.features(stream(spark, sf_dir)), 5)
+    return out.select("win", "start_toa_ns", *_rounded(out))
+
+
+@query()
+def window_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.to_vector(windows.features(stream(spark, sf_dir)), replace_nan=True)
+
+
+@query(
+    "select win, feature, round(v, 6) as v from (unpivot (select win, hit_count, total_energy, max_energy_hit from w4) on hit_count, total_energy, max_energy_hit into name feature value v)", WINDOWS
+)
+def window_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features written as text lines and read back."""
+    lines = windows.to_lines(windows.features(stream(spark, sf_dir)))
+    back = windows.from_lines(lines.select("value")).withColumn("win", F.round(F.col("start_toa_ns") / F.lit(W2 * 1.5625)).cast("long"))
+    return back.unpivot(["win"], ["hit_count", "total_energy", "max_energy_hit"], "feature", "v").select("win", "feature", r6("v").alias("v"))
+
+
+# --- triggers ----------------------------------------------------------------------------------
+
+INTERVALS = "hit_count[1] mean_x[px] max_energy_hit[keV]\n[36:*] [*:72.5] [200:*]\n[*:18] [*:*] [*:*]"
+_FIRES = "((hit_count >= 36 and (isnan(mean_x) or mean_x <= 72.5) and max_energy_hit >= 200) or hit_count <= 18)"
+
+
+@query(f"select win, {_FIRES} as fires from w4", WINDOWS)
+def interval_trigger_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.features(stream(spark, sf_dir))
+    return out.select("win", triggers.fires_interval(triggers.parse_intervals(INTERVALS)).alias("fires"))
+
+
+GATE = f"""{WINDOWS}, g0 as (select *, row_number() over (partition by win order by tick, y, x) > 1 or win = 0 as counted from w0),
+g1 as (select win, count(*) as hit_count, max(e) as max_energy_hit, avg(x) as mean_x, max(tick) as last_tick from g0 where counted group by win),
+g2 as (select *, {_FIRES} as fires from g1),
+g3 as (select *, last_value(case when fires then last_tick end ignore nulls) over (order by win rows unbounded preceding) as lt from g2),
+g4 as (select *, coalesce(last_tick - lt <= 96000000, false) as active from g3),
+g5 as (select *, coalesce(lag(active) over (order by win), false) as was_active from g4)"""
+
+
+@query(
+    f"""select tick, lin, win from g0 where coalesce((select arg_max(active, win) from g5 where g5.win < g0.win), false)
+    or exists (select 1 from g5 where fires and not was_active and (g5.win = g0.win or (g5.win > g0.win and g5.win <= g0.win + 2 and g0.tick + {W2} >= g5.win * {W2})))""",
+    GATE,
+)
+def trigger_gate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that pass an interval trigger which holds for 150 ms."""
+    hits = triggers.gate_windows(stream(spark, sf_dir))
+    seen = windows.aggregate(hits.filter("counted"))
+    states = triggers.activity(seen.withColumn("fires", triggers.fires_interval(triggers.parse_intervals(INTERVALS))), 96_000_000)
+    return triggers.gate(hits, states).select("tick", "lin", "win")
+
+
+@query(
+    """select win, hit_count, coalesce(hit_count / p > 1.5 or p / hit_count > 1.5, true) as fires
+    from (select win, cast(count(*) as double) as hit_count, lag(cast(count(*) as double)) over (order by win) as p from (select tick // 32000000 as win from f2) group by win)"""
+)
+def frequency_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate changes between 50 ms windows by half; production asks for twice the rate."""
+    out = triggers.frequency_windows(stream(spark, sf_dir))
+    return out.select("win", "hit_count", triggers.fires_frequency(1.5).alias("fires"))
+
+
+@query()
+def triggered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.pixel_list(triggers.triggered_hits(stream(spark, sf_dir))))
+
+
+@query(
+    """select feature, round(avg(v), 4) as mean, round(case when stddev_pop(v) < 1e-7 then 1 else stddev_pop(v) end, 4) as std
+    from (unpivot (select * exclude (win, start_toa_ns) replace (case when isnan(mean_x) then 0 else mean_x end as mean_x, case when isnan(mean_y) then 0 else mean_y end as mean_y,
+    case when isnan(std_x) then 0 else std_x end as std_x, case when isnan(std_y) then 0 else std_y end as std_y) from w4) on * into name feature value v) group by feature""",
+    WINDOWS,
+)
+def std_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = triggers.scaler(windows.features(stream(spark, sf_dir)))
+    return out.filter(~F.col("feature").rlike("^h[0-9]+$")).select("feature", r4("mean").alias("mean"), r4("std").alias("std"))
+
+
+# --- analysis, validation, files ---------------------------------------------------------------
+
+
+@query("select cluster_id, diameter, timespan from (" + STATS.format(t="tc") + ")", TEMPORAL)
+def cluster_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.properties(clustering.temporal(tracks(spark, sf_dir))).select("cluster_id", "diameter", "timespan")
+
+
+@query("select cluster_id, center_x, center_y from (" + STATS.format(t="pl") + ")", _spatial(1))
+def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats(clustering.pixel_list(tracks(spark, sf_dir))).select("cluster_id", "center_x", "center_y")
+
+
+@query("select diameter, count(*) as clusters, round(avg(timespan), 4) as mean_timespan from (" + STATS.format(t="pl") + ") group by diameter", _spatial(1))
+def diameter_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.properties(clustering.pixel_list(tracks(spark, sf_dir)))
+    return out.groupBy("diameter").agg(F.count("*").alias("clusters"), r4(F.avg("timespan")).alias("mean_timespan"))
+
+
+@query("select hit_count, round(sum(total_energy), 2) as energy, round(max(total_energy), 4) as top from (" + STATS.format(t="tc") + ") group by hit_count", TEMPORAL)
+def cluster_energy_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = stats(clustering.temporal(tracks(spark, sf_dir)))
+    return out.groupBy("hit_count").agg(F.round(F.sum("total_energy"), 2).alias("energy"), r4(F.max("total_energy")).alias("top"))
+
+
+@query(
+    """select a, b, n / max(n) over () as share from (select cast(least(floor((hit_count - lo1) / ((hi1 - lo1) / 10)), 9) as int) as a,
+    cast(least(floor((diameter - lo2) / ((hi2 - lo2) / 10)), 9) as int) as b, count(*) as n
+    from s, (select min(hit_count) as lo1, cast(max(hit_count) as double) as hi1, min(diameter) as lo2, cast(max(diameter) as double) as hi2 from s) group by all)""",
+    f"{TEMPORAL}, s as ({STATS.format(t='tc')})",
+)
+def attribute_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.histogram_2d(analysis.properties(clustering.temporal(tracks(spark, sf_dir))), "hit_count", "diameter")
+    return out.select(F.col("a_bucket").alias("a"), F.col("b_bucket").alias("b"), "share")
+
+
+@query("select hit_count, round(avg(total_energy), 4) as mean, round(stddev_pop(total_energy), 4) as std from (" + STATS.format(t="tc") + ") group by hit_count", TEMPORAL)
+def mean_std_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analysis.mean_std(stats(clustering.temporal(tracks(spark, sf_dir))), "total_energy", "hit_count")
+    return out.select("hit_count", r4("mean").alias("mean"), r4("std").alias("std"))
+
+
+_RING = """(select count(*) + count(*) filter (q.x = a.x - {r} and q.y = a.y - {r}) from (select distinct x, y from pl p where p.cluster_id = a.cluster_id) q
+      where greatest(abs(q.x - a.x), abs(q.y - a.y)) = {r}) / (8.0 * {r}) as ring{r}"""
+
+
+@query(
+    f"""select cluster_id, round(e, 4) as e, case when ring1 < 0.74 then 0 when ring2 < 0.74 then 1 end as halo from (select a.cluster_id, a.e, {_RING.format(r=1)}, {_RING.format(r=2)}
+      from pl a where a.e > 50 and a.cluster_id not in (select cluster_id from pl where x in (0, 255) or y in (0, 255)))""",
+    _spatial(1),
+)
+def halo_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No cluster of these tracks fills a second ring, which the SQL checks."""
+    return analysis.halo_widths(clustering.pixel_list(tracks(spark, sf_dir))).select("cluster_id", r4("e").alias("e"), "halo")
+
+
+@query(
+    """select matched, na - matched as only_first, nb - matched as only_second, cast(matched as double) / (na + nb - matched) as iou from (
+    select count(*) as matched from sa join sb on sa.sig = sb.sig), (select count(*) as na from sa), (select count(*) as nb from sb)""",
+    f"""{_spatial(1)}, sa as (select cluster_id, list_sort(list((tick, x, y))) as sig from tc group by cluster_id),
+    sb as (select cluster_id, list_sort(list((tick, x, y))) as sig from pl group by cluster_id)""",
+)
+def clustering_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = tracks(spark, sf_dir)
+    return analysis.iou(clustering.temporal(hits), clustering.pixel_list(hits))
+
+
+@query(
+    """select cluster_id, first_toa, hit_count, cast(coalesce(sum(hit_count + 1) over o, 0) as bigint) as line_start, cast(coalesce(sum(bytes) over o, 0) as bigint) as byte_start
+    from (select cluster_id, min(tick) * cast(1.5625 as double) as first_toa, count(*) as hit_count,
+          sum(length(printf('%d %d %.6f %.2f', x, y, tick * cast(1.5625 as double), e)) + 1) + 2 as bytes from tc group by cluster_id)
+    window o as (order by first_toa, cluster_id rows between unbounded preceding and 1 preceding)""",
+    TEMPORAL,
+)
+def mm_cl_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sinks.cluster_offsets(clustering.nested(clustering.temporal(tracks(spark, sf_dir))))
+    return out.drop("text")
+
+
+@query("select lin as linear_coord, toa, fast_toa, tot % 1024 as tot from f1")
+def frame_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits encoded as readout frames and decoded again."""
+    hits = fixtures.track_hits(spark, sf_dir).withColumn("linear_coord", F.col("lin"))
+    return sources.decode_frames(sources.encode_frames(hits, ["toa", *ORDER])).drop("frame_no")
+
+
+@query("select count(*) as hits, cast(0 as bigint) as announced, cast(0 as bigint) as lost_frames, false as ended from f1")
+def frame_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fixtures.track_hits(spark, sf_dir).withColumn("linear_coord", F.col("lin"))
+    return sources.frame_summary(sources.encode_frames(hits, ["toa", *ORDER]))
+
+
+@query("select lin as linear_coord, toa, fast_toa, tot from f2")
+def text_hit_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits written as text lines and parsed."""
+    raw = fixtures.stream_hits(spark, sf_dir).select(F.concat_ws(" ", "lin", "toa", "fast_toa", "tot").alias("value"))
+    out = sources.parse_hits(raw)
+    return out.select("linear_coord", "toa", F.col("fast_toa").cast("int").alias("fast_toa"), F.col("tot").cast("int").alias("tot"))
+
+
+assert JOIN_TICKS == 128, "the SQL above spells the join distance out"
