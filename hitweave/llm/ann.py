@@ -2,13 +2,15 @@
 
 The two halves of the vectors are quantised separately; a row's cell is its pair of centroids.  A
 query walks the pairs in the order of summed distance (here: falling summed inner product) with a
-heap, until the cells it has passed hold enough rows, and these entries are scored exactly.
+heap, until the cells it has passed hold enough rows; the sum reached then is its bar.  The entries
+of all cells above the bar are scored exactly.
 
-The codebooks are fitted on a bounded sample (``SAMPLE`` rows, the smallest hashes); every row is
-indexed.  A cell's entries and the queries that visit it meet in blocks of bounded size, so that
-neither a crowded cell nor a popular one ends in a single task.  Rows with equal vectors share
-their scores; in a cell only the ids that can be among the k nearest are scored, and they count
-once against the budget.
+Codebooks, and the share of rows a query must pass, are fitted on a bounded sample (``SAMPLE`` rows,
+those with the smallest hashes): the share is what the sample's own nearest neighbours need for a
+recall of ``RECALL``.  Every row is indexed.  Rows are dealt at random into shards of bounded size,
+each with its entries in the order of cells, and queries visit them in blocks, so that neither a
+crowded cell nor a popular one ends in a single task.  Of equal vectors a shard scores only the ids
+that can be among the k nearest, and they count once against the share.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows without an id; rows that repeat id and vector count once; rows with the query's id are
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from hitweave.llm.common import finite_vector, materialize
 
 SAMPLE = 16_384
-CENTROIDS = 32
-#: Share of the distinct vectors, and the least number of them, that a query's cells must hold.
-SHARE, LEAST = 0.15, 1000
-BLOCK = 2048
+#: Of the sample, so many rows are queries when the share is fitted.
+ASKED = 256
+CENTROIDS = 64
+RECALL = 0.96
+SHARD_ROWS = QUERY_ROWS = 4096
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -79,38 +82,67 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(q_ids, queries, ids, points, k: int):
-    """(query ids, vec ids, scores) of the k best entries of a block for each query, by exact inner product."""
+def fitted_share(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: int, recall: float = RECALL) -> float:
+    """The share of rows that a query must pass so that ``recall`` of its k nearest are among them."""
+    half, wide, n = books[0].shape[1], len(books[1]), len(points)
+    cell = nearest(points[:, :half], books[0]) * wide + nearest(points[:, half:], books[1])
+    held = np.bincount(cell, minlength=len(books[0]) * wide)
+    places = []
+    for q in range(min(ASKED, n)):
+        scores = points @ points[q]
+        scores[q] = -np.inf
+        best = np.argpartition(-scores, min(k, n - 1))[: min(k, n - 1)] if n > 1 else np.zeros(0, int)
+        sums = ((points[q, :half] @ books[0].T)[:, None] + (points[q, half:] @ books[1].T)[None, :]).ravel()
+        order = np.argsort(-sums, kind="stable")
+        passed = np.empty(len(order))
+        passed[order] = np.cumsum(held[order])
+        places.append(passed[cell[best]] / n)
+    places = np.concatenate(places) if places else np.ones(1)
+    return float(np.quantile(places, recall)) if len(places) else 1.0
+
+
+def bar(first: np.ndarray, second: np.ndarray, held: np.ndarray, budget: float) -> float:
+    """The summed inner product of the last pair of a walk that passes ``budget`` rows; -inf if there are fewer."""
+    passed = 0
+    for i, j in pairs_by_sum(first, second):
+        passed += held[i, j]
+        if passed >= budget:
+            return float(first[i] + second[j]) - 1e-9
+    return -np.inf
+
+
+def search_shard(q_ids, queries, bars, ids, points, cells, books, k: int):
+    """(query ids, vec ids, scores) of each query's k best among the shard's entries in cells above its bar."""
+    by = np.argsort(cells, kind="stable")
+    ids, points, cells = ids[by], points[by], cells[by]
+    own, count = np.unique(cells, return_counts=True)
+    half, wide = books[0].shape[1], len(books[1])
+    first, second = queries[:, :half] @ books[0].T, queries[:, half:] @ books[1].T
     out = []
-    for at in range(0, len(q_ids), 256):
-        scores = queries[at : at + 256] @ points.T
-        scores[q_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        if scores.shape[1] > k:
+    for n, q in enumerate(q_ids.tolist()):
+        there = np.flatnonzero(np.repeat(first[n, own // wide] + second[n, own % wide] >= bars[n], count) & (ids != q))
+        scores = points[there] @ queries[n]
+        if len(there) > k:
             # what may tie with the k-th stays until exact scores and ids decide
-            kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-            row, col = np.nonzero((scores >= (kth - 1e-12 * np.abs(kth) - 1e-12)[:, None]) & np.isfinite(scores))
-        else:
-            row, col = np.nonzero(np.isfinite(scores))
-        s, i = exact(queries[at + row], points[col]), ids[col]
-        by = np.lexsort((i, -s, row))
-        row, s, i = row[by], s[by], i[by]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        few = place < k
-        out.append((q_ids[at : at + 256][row[few]], i[few], s[few]))
+            kth = -np.partition(-scores, k - 1)[k - 1]
+            there = there[scores >= kth - 1e-12 * abs(kth) - 1e-12]
+        s = exact(np.broadcast_to(queries[n], (len(there), queries.shape[1])), points[there])
+        few = np.lexsort((ids[there], -s))[:k]
+        out.append((np.full(len(few), q), ids[there][few], s[few]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def distinct_entries(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def distinct_entries(ids: np.ndarray, points: np.ndarray, cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Without repeated rows, and of equal vectors only the k + 1 smallest ids: others are among nobody's k nearest."""
     by = np.lexsort((ids, *points.T))
-    ids, points = ids[by], points[by]
+    ids, points, cells = ids[by], points[by], cells[by]
     same = np.zeros(len(ids), bool)
     same[1:] = (points[1:] == points[:-1]).all(axis=1)
     again = same & (np.concatenate([[False], ids[1:] == ids[:-1]]))
-    ids, points, same = ids[~again], points[~again], same[~again]
+    ids, points, cells, same = ids[~again], points[~again], cells[~again], same[~again]
     first = np.maximum.accumulate(np.where(~same, np.arange(len(ids)), 0))
     few = np.arange(len(ids)) - first <= k
-    return ids[few], points[few]
+    return ids[few], points[few], cells[few]
 
 
 def search(
@@ -120,23 +152,29 @@ def search(
     vec_col: str = "embedding",
     k: int = 20,
     centroids: int = CENTROIDS,
-    share: float = SHARE,
-    least: int = LEAST,
+    share: float | None = None,
+    shard_rows: int = SHARD_ROWS,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """Columns query_id, rank, vec_id, score: the k nearest found for each query row, by inner product in doubles."""
+    """Columns query_id, rank, vec_id, score: the k nearest found for each query row, by inner product in doubles.
+
+    ``share`` of the distinct vectors is passed by each query; by default it is fitted for the recall.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks")).filter(
         finite_vector("vec") & F.col("id").isNotNull() & F.exists("vec", lambda x: x != 0)
     )
     sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
-        return df.sparkSession.createDataFrame([], schema)
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, half = sizes["dim"], max(1, sizes["dim"] // 2)
     rows = rows.filter(F.size("vec") == dim)
     sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
-    fitted = np.stack(sample["vec"].to_numpy()).astype(np.float64)
+    fitted = np.unique(np.stack(sample["vec"].to_numpy()).astype(np.float64), axis=0)
+    fitted = fitted[np.random.default_rng(3).permutation(len(fitted))]
     books = kmeans(fitted[:, :half], centroids), kmeans(fitted[:, half:], centroids) if dim > half else np.zeros((1, 0))
+    share = fitted_share(fitted, books, k) if share is None else share
     wide = len(books[1])
+    kind = df.schema[vec_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,51 +182,39 @@ def search(
             cell = nearest(v[:, :half], books[0]) * wide + nearest(v[:, half:], books[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "vec", "asks", "cell"])
 
-    kind = df.schema[vec_col].dataType.simpleString()
     index = materialize(rows.mapInArrow(encode, f"id long, vec {kind}, asks boolean, cell int"), "index")
-    # At most centroids squared rows each: a table that doesn't grow with the input.
-    held = {r[0]: (r[1], r[2]) for r in index.groupBy("cell").agg(F.countDistinct(F.xxhash64("vec")), F.count("*")).collect()}
-    budget = max(least, share * sum(n for n, _ in held.values()))
+    # At most centroids squared rows: a table that doesn't grow with the input.
+    counts = index.groupBy("cell", F.xxhash64("vec").alias("v")).agg(F.count("*").alias("n")).groupBy("cell").agg(F.count("*").alias("n"))
+    held = np.zeros((len(books[0]), wide), np.int64)
+    for cell, n in counts.collect():
+        held[cell // wide, cell % wide] = n
+    budget = share * held.sum()
+    n, asking = index.agg(F.count("*"), F.count_if("asks")).first()
+    shards, chunks = max(1, -(-n // shard_rows)), max(1, -(-asking // query_rows))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1))
             first, second = v[:, :half] @ books[0].T, v[:, half:] @ books[1].T
-            cells = []
-            for a, b in zip(first, second, strict=True):
-                passed, own = 0, []
-                for i, j in pairs_by_sum(a, b):
-                    if (c := i * wide + j) in held:
-                        own.append(c)
-                        passed += held[c][0]
-                        if passed >= budget:
-                            break
-                cells.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["id", "vec", "cells"])
-
-    asked = index.filter("asks").select("id", "vec").mapInArrow(walk, f"id long, vec {kind}, cells array<int>")
-    asked = materialize(asked, "asked").withColumn("cell", F.explode("cells")).select("id", "vec", "cell")
-    visits = {r[0]: r[1] for r in asked.groupBy("cell").count().collect()}
-    e_blocks = F.create_map(*(F.lit(x) for c, (_, n) in held.items() for x in (c, -(-n // BLOCK))))
-    q_blocks = F.create_map(*(F.lit(x) for c in held for x in (c, max(1, -(-visits.get(c, 0) // BLOCK)))))
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    key = ["cell", "e", "q"]
-    entries = index.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), e_blocks[F.col("cell")]).cast("int").alias("e"))
-    entries = entries.filter(F.col("cell").isin([c for c in visits])) if len(visits) < len(held) else entries
-    entries = entries.select("*", each(q_blocks[F.col("cell")]).alias("q"))
-    asked = asked.select("id", "vec", "cell", F.pmod(F.xxhash64("id", F.lit(1)), q_blocks[F.col("cell")]).cast("int").alias("q"))
-    asked = asked.select("*", each(e_blocks[F.col("cell")]).alias("e"))
+            bars = [bar(a, b, held, budget) for a, b in zip(first, second, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars, pa.float64())], names=["id", "vec", "bar"])
+
+    # few rows, each of which takes a while: spread them over all cores
+    asked = index.filter("asks").select("id", "vec").repartition(F.col("id")).mapInArrow(walk, f"id long, vec {kind}, bar double")
+    asked = materialize(asked, "asked")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    key = ["shard", "chunk"]
+    asked = asked.select("id", "vec", "bar", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).alias("chunk"), each(shards).alias("shard"))
+    entries = index.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), each(chunks).alias("chunk"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
+        got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        if len(left) and len(right):
             q_ids, pick = np.unique(left.column("id").to_numpy(), return_index=True)
-            ids, points = distinct_entries(right.column("id").to_numpy(), _matrix(right.column("vec")), k)
-            got = search_block(q_ids, _matrix(left.column("vec"))[pick], ids, points, k)
+            kept = distinct_entries(right.column("id").to_numpy(), _matrix(right.column("vec")), right.column("cell").to_numpy(), k)
+            got = search_shard(q_ids, _matrix(left.column("vec"))[pick], left.column("bar").to_numpy()[pick], *kept, books, k)
         return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    fresh = lambda t: t.select(*(F.col(c).alias(c) for c in (*key, "id", "vec")))
-    found = fresh(asked).groupBy(*key).cogroup(fresh(entries).groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    found = asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
