@@ -35,40 +35,64 @@ SPAN = "struct<start:int,kind:int,end:int,hash:bigint>"
 _NONE = f"cast(array() as array<{SPAN}>)"
 
 
+#: Lengths are summed up in blocks of so many, so that a text with very many matches stays cheap.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: expressions inside a lambda are evaluated each time they occur."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
 def _spans(text: Column, pattern: str, kind: int, value_group: int, keep) -> Column:
     """The spans of all matches that pass ``keep(value)``; their offsets are code points."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group))
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    # After each gap and match the place reached; the last gap has no match.
-    lengths = F.transform(parts, lambda p: F.char_length(p["gap"]) + F.coalesce(F.char_length(p["whole"]), F.lit(0)))
-
-    def place(p: Column, i: Column) -> Column:
-        end = F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b)
-        return F.struct(
-            (end - F.char_length(p["whole"])).cast("int").alias("start"),
-            F.lit(kind).alias("kind"),
-            end.cast("int").alias("end"),
-            F.xxhash64(p["value"]).alias("hash"),
-            p["value"].alias("value"),
-        )
-
-    found = F.filter(F.transform(parts, place), lambda s: s["value"].isNotNull() & keep(s["value"]))
+
+    def places(p: Column, lengths: Column, blocks: Column) -> Column:
+        def place(x: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            end = _sum(F.slice(blocks, F.lit(1), block)) + _sum(F.slice(lengths, block * BLOCK + 1, i - block * BLOCK + 1))
+            return F.struct(
+                (end - F.char_length(x["whole"])).cast("int").alias("start"),
+                F.lit(kind).alias("kind"),
+                end.cast("int").alias("end"),
+                F.xxhash64(x["value"]).alias("hash"),
+                x["value"].alias("value"),
+            )
+
+        return F.transform(p, place)
+
+    def blocks_of(lengths: Column) -> Column:
+        many = F.ceil(F.size(lengths) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda b: _sum(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+
+    # The place reached after each gap and match; the last gap has no match.
+    length = lambda x: F.char_length(x["gap"]) + F.coalesce(F.char_length(x["whole"]), F.lit(0))
+    found = _let(parts, lambda p: _let(F.transform(p, length), lambda n: _let(blocks_of(n), lambda b: places(p, n, b))))
+    found = F.filter(found, lambda s: s["value"].isNotNull() & keep(s["value"]))
     return F.transform(found, lambda s: F.struct(s["start"], s["kind"], s["end"], s["hash"]))
 
 
-def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with columns __base and __wide: arrays of spans, by start, then kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def base_spans(text: Column) -> Column:
+    """All base spans of a text, by start, then kind."""
     none = F.expr(_NONE)
     assign = F.when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, 2, lambda v: F.length(v) >= 6)).otherwise(none)
     access = F.when(text.contains("AKIA"), _spans(text, ACCESS, 1, 0, lambda v: F.lit(True))).otherwise(none)
     hexes = F.when(text.rlike(HEX), _spans(text, HEX, 2, 0, lambda v: F.lit(True))).otherwise(none)
+    return F.array_sort(F.concat(assign, access, hexes))
+
+
+def wide_spans(text: Column, base: Column) -> Column:
+    """The long mixed tokens of a text that touch no base span."""
     mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) > MIN_DISTINCT)
-    wide = F.when(text.rlike(WIDE), _spans(text, WIDE, 3, 0, mixed)).otherwise(none)
-    out = df.withColumn("__base", F.array_sort(F.concat(assign, access, hexes))).withColumn("__wide", wide)
-    clear = F.filter("__wide", lambda w: ~F.exists("__base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    return out.withColumn("__wide", clear)
+    wide = F.when(text.rlike(WIDE), _spans(text, WIDE, 3, 0, mixed)).otherwise(F.expr(_NONE))
+    return F.filter(wide, lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -78,8 +102,16 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, owner: Column, repo: Column, text_col: str, keep: list[str]) -> DataFrame:
-    rows = scan(df, text_col).withColumn("__owner", owner).withColumn("__repo", repo).withColumn("__row", F.monotonically_increasing_id())
-    return materialize(rows.select(*keep, "__row", "__owner", "__repo", "__base", "__wide"), "secrets")
+    """Columns c0, c1, ... for ``keep``, then __row, __owner, __repo, __base and __wide; written once."""
+    rows = df.select(
+        *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)),
+        F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
+        owner.alias("__owner"),
+        repo.alias("__repo"),
+        F.monotonically_increasing_id().alias("__row"),
+    )
+    rows = rows.withColumn("__base", base_spans(F.col("__text"))).withColumn("__wide", wide_spans(F.col("__text"), F.col("__base")))
+    return materialize(rows.drop("__text"), "secrets")
 
 
 def _verdicts(rows: DataFrame) -> DataFrame:
@@ -100,10 +132,11 @@ def _verdicts(rows: DataFrame) -> DataFrame:
 def find_secrets(df: DataFrame, owner: Column, repo: Column, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep``, base and spans (arrays of start, kind, end, hash), n_live and n_example for every row."""
     rows = _numbered(df, owner, repo, text_col, list(keep))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
     out = rows.join(materialize(_verdicts(rows), "verdicts"), "__row", "left")
     added = F.coalesce("__added", F.expr(_NONE))
     return out.select(
-        *keep,
+        *own,
         F.col("__base").alias("base"),
         F.array_sort(F.concat("__base", added)).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
@@ -136,9 +169,11 @@ def redact(df: DataFrame, owner: Column, repo: Column, text_col: str = "text") -
     """
     names = df.columns
     rows = _numbered(df, owner, repo, text_col, names)
+    text = f"c{names.index(text_col)}"
     hard = F.size("__wide") > 0
     spans = F.array_sort(F.concat("__base", F.coalesce("__added", F.expr(_NONE))))
-    plain = rows.filter(~hard).withColumn(text_col, redacted(F.col(text_col), F.col("__base")))
+    plain = rows.filter(~hard).withColumn(text, redacted(F.col(text), F.col("__base")))
     verdicts = materialize(_verdicts(rows).filter("size(__added) > 0").select("__row", "__added"), "added")
-    judged = rows.filter(hard).join(verdicts, "__row", "left").withColumn(text_col, redacted(F.col(text_col), spans))
-    return plain.select(names).unionByName(judged.select(names))
+    judged = rows.filter(hard).join(verdicts, "__row", "left").withColumn(text, redacted(F.col(text), spans))
+    own = [F.col(f"c{i}").alias(c) for i, c in enumerate(names)]
+    return plain.select(own).unionByName(judged.select(own))
