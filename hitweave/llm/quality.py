@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import materialize
+from hitweave.llm.common import fresh, materialize
 
 BUCKETS = 1 << 16
 #: At most about so many labelled rows fit the target model and the cut.
 LABELLED = 20_000
 SMOOTH = 4.0
+#: Scale of the Gumbel noise, in the units of the margin.
+TEMPERATURE = 0.05
 #: All digits count as one.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _REPEAT, _NEW = BUCKETS, BUCKETS + 1
@@ -162,18 +164,25 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """The kept rows of ``docs``, whole, with columns log_weight and gumbel_key added."""
+def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, weights: bool = True) -> DataFrame:
+    """The kept rows of ``docs``, whole, and with ``weights`` columns log_weight and gumbel_key after them.
+
+    Columns of ``docs`` that have these names already are left out then.
+    """
+    names = docs.columns
+    w, g, m = fresh(docs, "__weight", "__gumbel", "__margin")
     text = F.coalesce(F.col(text_col), F.lit(""))
     uniform = (F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text), F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
     root = F.sqrt(F.octet_length(text) + F.lit(16.0))
-    weight = model.column(text)
-    scored = docs.withColumn("log_weight", weight).withColumn("__margin", F.col("log_weight") / root)
+    scored = docs.withColumn(w, model.column(text)).withColumn(m, F.col(w) / root)
     # The temperature makes the noise a small part of the margin's spread, so that it acts near the cut.
-    scored = scored.withColumn("gumbel_key", F.col("__margin") + F.lit(0.05) * -F.log(-F.log(uniform)))
+    scored = scored.withColumn(g, F.col(m) + F.lit(TEMPERATURE) * -F.log(-F.log(uniform)))
     cut = -1e300 if model.cut == -math.inf else model.cut
-    keys = materialize(scored.select(_ordered(F.col("gumbel_key")).alias("key"), (F.col("__margin") >= F.lit(cut)).alias("inside")), "keys")
+    keys = materialize(scored.select(_ordered(F.col(g)).alias("key"), (F.col(m) >= F.lit(cut)).alias("inside")), "keys")
     k = keys.agg(F.sum(F.col("inside").cast("long"))).first()[0] or 0
     bar = kth_largest(keys, k)
-    kept = scored.filter(F.lit(False) if bar is None else _ordered(F.col("gumbel_key")) >= F.lit(bar))
-    return kept.drop("__margin")
+    kept = scored.filter(F.lit(False) if bar is None else _ordered(F.col(g)) >= F.lit(bar))
+    if not weights:
+        return kept.select(names)
+    own = [c for c in names if c not in ("log_weight", "gumbel_key")]
+    return kept.select(*own, F.col(w).alias("log_weight"), F.col(g).alias("gumbel_key"))

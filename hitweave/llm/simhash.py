@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import materialize
+from hitweave.llm.common import fresh, materialize
 from hitweave.llm.components import components
 
 SEED = 42
@@ -201,9 +201,11 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     """One row of each component of near-duplicates, whole: the one with the smallest id (null ids last), of repeated rows any."""
     names = df.columns
     own = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
-    rows = df.withColumn("__k1", F.xxhash64(*own)).withColumn("__k2", F.xxhash64(F.lit(1), *own))
-    found = near_duplicates(rows, id_col, text_col, max_bits, shingle, ("__k1", "__k2"))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col), "__k1", "__k2")).alias("first")
-    kept = materialize(found.groupBy("root").agg(first).select("first.__k1", "first.__k2"), "kept")
+    k1, k2 = fresh(df, "__k1", "__k2")
+    rows = df.withColumn(k1, F.xxhash64(*own)).withColumn(k2, F.xxhash64(F.lit(1), *own))
+    narrow = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
+    found = near_duplicates(narrow, "id", "text", max_bits, shingle, ("k1", "k2"))
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
+    kept = materialize(found.groupBy("root").agg(first).select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2)), "kept")
     # a row is found again by two hashes of id and text: 128 bits
-    return rows.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(names)
+    return rows.join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(names)
