@@ -27,12 +27,12 @@ def with_event_time(hits: DataFrame, lateness: str = LATENESS) -> DataFrame:
 
 
 def temporal_clusters(hits: DataFrame, max_dt: int = JOIN_TICKS) -> DataFrame:
-    """first_tick, last_tick, hit_count and energy of temporal clusters.
+    """lane, first_tick, last_tick, hit_count and energy of temporal clusters; each ``lane`` is a stream of its own.
 
     Spark joins events whose distance equals the gap, clusters don't: the gap is a tick shorter.
     """
     session = F.session_window("et", f"{max_dt - 1} microseconds")
-    out = hits.groupBy(session).agg(F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"), F.count("*").alias("hit_count"), F.sum("e").alias("energy"))
+    out = hits.groupBy("lane", session).agg(F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"), F.count("*").alias("hit_count"), F.sum("e").alias("energy"))
     return out.drop("session_window")
 
 
