@@ -32,15 +32,15 @@ LIST_RULES = [
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 ]
-# Patterns over host and path, lower-cased, each with a literal token; they block.
+# Patterns over host and path, lower-cased, which block, and the tokens that each match contains whole.
 PATTERN_RULES = [
-    r"(?:^|[./-])casino(?:[./-]|$)",
-    r"(?:^|[./-])porn(?:[./-]|$)",
-    r"(?:^|[./-])xxx(?:[./-]|$)",
-    r"(?:^|\.)adserver\d*\.",
-    r"(?:^|\.)doubleclick\.",
-    r"/wp-login(?:[./]|$)",
-    r"/phishing(?:[./-]|$)",
+    (r"(?:^|[./-])casino(?:[./-]|$)", ("casino",)),
+    (r"(?:^|[./-])porn(?:[./-]|$)", ("porn",)),
+    (r"(?:^|[./-])xxx(?:[./-]|$)", ("xxx",)),
+    (r"(?:^|\.)adserver\d*\.", ()),  # digits may lengthen the token
+    (r"(?:^|\.)doubleclick\.", ("doubleclick",)),
+    (r"/wp-login(?:[./]|$)", ("wp", "login")),
+    (r"/phishing(?:[./-]|$)", ("phishing",)),
 ]
 
 
@@ -60,15 +60,13 @@ def list_rule(verdict: str, host: str, path: str) -> Rule:
     return Rule(rf"\A(?:[^/]*\.)?{re.escape(host)}{re.escape(path)}", tuple(tokens), verdict, host + path, True)
 
 
-def pattern_rule(pattern: str, verdict: str = "block") -> Rule:
-    """A rule for lower-cased host and path; its token is the literal run between the delimiting groups."""
-    literal = re.sub(r"\\.|\[[^\]]*\]|\(\?:[^)]*\)", lambda m: "." if m[0] in (r"\.",) else " ", pattern)
-    tokens = [m[0] for m in TOKEN.finditer(literal) if not literal[m.end() : m.end() + 1] in ("*", "+", "?", " ") or pattern[pattern.find(m[0]) + len(m[0]) :].startswith("(?:[")]
-    return Rule(pattern, tuple(tokens), verdict)
+def pattern_rule(pattern: str, tokens: tuple[str, ...], verdict: str = "block") -> Rule:
+    """A rule for lower-cased host and path; ``tokens`` are whole tokens of every match, without any it always runs."""
+    return Rule(pattern, tokens, verdict)
 
 
 def default_rules() -> list[Rule]:
-    return [list_rule(*r) for r in LIST_RULES] + [pattern_rule(p) for p in PATTERN_RULES]
+    return [list_rule(*r) for r in LIST_RULES] + [pattern_rule(*p) for p in PATTERN_RULES]
 
 
 def split_url(url: str | None) -> tuple[str, str]:
