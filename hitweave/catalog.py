@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hitweave import fixtures, sinks, sources
+from hitweave.functions.onnx import linear_model
 from hitweave.model import JOIN_TICKS, SLICE_NS, SLICE_TICKS, WINDOW_TICKS
-from hitweave.operators import analysis, clustering, preprocess, slices, triggers, windows
+from hitweave.operators import analysis, clustering, preprocess, rates, slices, triggers, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -364,6 +365,13 @@ def interval_trigger_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("win", triggers.fires_interval(triggers.parse_intervals(INTERVALS)).alias("fires"))
 
 
+@query("select win, hit_count > 30.5 as fires from w4", WINDOWS)
+def onnx_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network of one neuron that looks at the hit count."""
+    weights = [1.0 if c == "hit_count" else 0.0 for c in [*windows.SCALARS, *range(windows.BINS)]]
+    return triggers.fires_model(windows.features(stream(spark, sf_dir)), linear_model(weights, -30.5)).select("win", "fires")
+
+
 GATE = f"""{WINDOWS}, g0 as (select *, row_number() over (partition by win order by tick, y, x) > 1 or win = 0 as counted from w0),
 g1 as (select win, count(*) as hit_count, max(e) as max_energy_hit, avg(x) as mean_x, max(tick) as last_tick from g0 where counted group by win),
 g2 as (select *, {_FIRES} as fires from g1),
@@ -397,7 +405,7 @@ def frequency_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def triggered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats(clustering.pixel_list(triggers.triggered_hits(stream(spark, sf_dir))))
+    return stats(clustering.pixel_list(rates.triggered_hits(stream(spark, sf_dir))))
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitweave.model import WINDOW_TICKS
@@ -73,8 +73,13 @@ def fires_frequency(ratio: float = 2.0, count: str = "hit_count") -> Column:
     return F.coalesce(up | down, F.lit(True))
 
 
-def fires_model(features_: DataFrame, model: str, one_class: bool = False) -> DataFrame:
-    """Windows with column fires from an ONNX model (26 floats: all features but the start time, NaN as 0).
+def read_model(spark: SparkSession, path: str) -> bytes:
+    """The content of an ONNX file, from any store that Spark reads."""
+    return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+
+
+def fires_model(features_: DataFrame, model: bytes, one_class: bool = False) -> DataFrame:
+    """Windows with column fires from an ONNX model's content (26 floats: all features but the start time, NaN as 0).
 
     Networks and classifiers fire above 0.5, one-class models below 0.
     """
@@ -84,7 +89,9 @@ def fires_model(features_: DataFrame, model: str, one_class: bool = False) -> Da
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"])
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = 1  # Spark has a task for each core already
+        session = onnxruntime.InferenceSession(model, options, providers=["CPUExecutionProvider"])
         source, target = session.get_inputs()[0].name, session.get_outputs()[0].name
         for part in parts:
             values = np.nan_to_num(part[names].to_numpy(np.float32), nan=0.0)
@@ -147,10 +154,3 @@ def scaler(features_: DataFrame) -> DataFrame:
 def frequency_windows(hits: DataFrame, width: int = WINDOW_TICKS // 4) -> DataFrame:
     """win and hit_count of the rate windows that the triggered clusterer watches (50 ms by default)."""
     return hits.groupBy(F.floor(F.col("tick") / width).alias("win")).agg(F.count("*").cast("double").alias("hit_count"), F.max("tick").alias("last_tick"))
-
-
-def triggered_hits(hits: DataFrame, width: int = WINDOW_TICKS // 4, hold: int = WINDOW_TICKS // 2) -> DataFrame:
-    """The hits that a rate change lets through, to be clustered: half a window's buffer before it, and 100 ms after it."""
-    states = activity(frequency_windows(hits, width).withColumn("fires", fires_frequency()), hold)
-    windowed = hits.withColumn("win", F.floor(F.col("tick") / width))
-    return gate(windowed, states, width).drop("win")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hitweave import sources
 from hitweave.model import Settings, ticks
-from hitweave.operators import analysis, clustering, preprocess, slices, triggers, windows
+from hitweave.operators import analysis, clustering, preprocess, rates, slices, triggers, windows
 
 EDGE = re.compile(r"([a-z]+)(\d+)([a-z]+)(\d+)")
 
@@ -83,12 +83,19 @@ def _adapt(c: Context, inputs: list[DataFrame]) -> DataFrame:
 
 
 def _gate(c: Context, inputs: list[DataFrame]) -> DataFrame:
+    """The trigger is an interval table (.ift), a network (.nnt), a classifier (.svmt) or a one-class model (.osvmt); without a file, a rate change."""
     width = ticks(c.settings.get("trigger", "window_size"))
     hits = triggers.gate_windows(_one(inputs), width)
     seen = windows.aggregate(hits.filter("counted"), width)
-    with_rows = c.settings.get("trigger", "trigger_file")
-    fires = triggers.fires_interval(triggers.parse_intervals("\n".join(r[0] for r in c.spark.read.text(with_rows).collect()))) if with_rows else triggers.fires_frequency()
-    states = triggers.activity(seen.withColumn("fires", fires), ticks(c.settings.get("trigger", "trigger_time")))
+    path = c.settings.get("trigger", "trigger_file")
+    if path.endswith((".nnt", ".svmt", ".osvmt")):
+        fired = triggers.fires_model(seen, triggers.read_model(c.spark, path), path.endswith(".osvmt"))
+    elif path:
+        rows = triggers.parse_intervals("\n".join(r[0] for r in c.spark.read.text(path).collect()))
+        fired = seen.withColumn("fires", triggers.fires_interval(rows))
+    else:
+        fired = seen.withColumn("fires", triggers.fires_frequency())
+    states = triggers.activity(fired, ticks(c.settings.get("trigger", "trigger_time")))
     return triggers.gate(hits, states, width).drop("win", "counted")
 
 
@@ -116,7 +123,7 @@ NODES: dict[str, Node] = {
     "cs": lambda c, i: clustering.two_step(_one(i)),
     "bbc": lambda c, i: clustering.halo_boxes(_one(i), c.settings.get("halo_bb_clusterer", "window_size")),
     "ec": lambda c, i: clustering.energy_filtered(clustering.pixel_list(_one(i), _max_dt(c))),
-    "trc": lambda c, i: clustering.pixel_list(triggers.triggered_hits(_one(i)), _max_dt(c)),
+    "trc": lambda c, i: clustering.pixel_list(rates.triggered_hits(_one(i)), _max_dt(c)),
     "tr": _gate,
     "m": lambda c, i: _one(i),  # sessions are exact: nothing is left to merge
     "co": lambda c, i: _one(i),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hitweave import sinks, sources, streaming
 from hitweave.model import Settings
-from hitweave.operators import analysis, clustering, preprocess, triggers, windows
+from hitweave.operators import analysis, clustering, preprocess, rates, triggers, windows
 from hitweave.plans import cli
 from hitweave.plans.graph import Context, Graph, build, recipe
 
@@ -75,6 +75,48 @@ def test_gate(spark, seed):
     assert got == gate_model(ticks, 100, lambda own: len(own) >= 4, 150)
 
 
+def rate_model(ticks, span, hold):
+    """The triggered clusterer by the book, for distinct ticks."""
+    first, n, fired, old, processing = 0, 0, 0, None, False
+    buffer, out = [], []
+    for t in ticks:
+        n += 1
+        end = t - first > span
+        buffer = [b for b in buffer if b >= t - span]
+        (out if processing else buffer).append(t)
+        if end:
+            if not processing:
+                rate, hit = n / (t - first), old is None
+                if old is not None and (rate / old > 2 or old / rate > 2):
+                    hit, fired = True, t
+                old = rate
+                if hit:
+                    out, buffer, processing = out + buffer, [], True
+            if t - fired > hold:
+                processing = False
+            first, n = t, 1
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_triggered_hits(spark, seed):
+    rng = random.Random(seed)
+    t, ticks = 0, []
+    for _ in range(400):
+        t += max(1, round(rng.expovariate(1 / rng.choice([3, 3, 40]) if (t // 1500) % 2 else 1 / 12)))
+        ticks.append(t)
+    df = spark.createDataFrame([(t, 1, 1, 1.0) for t in ticks], HIT)
+    windowed = rates.rate_windows(df, 100, per_piece=rng.choice([1, 3, 1000]))
+    ends, x = [], 100
+    for t in ticks:
+        if t > x:
+            ends.append(t)
+            x = t + 100
+    got = {r["tick"]: r["end"] for r in windowed.collect()}
+    assert got == {t: min([e for e in ends if e >= t], default=None) for t in ticks}
+    assert sorted(r["tick"] for r in rates.triggered_hits(df, 100, 200).collect()) == rate_model(ticks, 100, 200)
+
+
 def test_intervals(spark):
     rows = triggers.parse_intervals("hit_count[1] mean_x[px]\n[1:5] [*:10]\n")
     df = spark.createDataFrame([(1.0, 10.0), (5.0, 10.5), (6.0, 1.0), (3.0, float("nan"))], "hit_count double, mean_x double")
@@ -83,6 +125,23 @@ def test_intervals(spark):
         triggers.parse_intervals("e_distrib[[1]]\n[0:1]")
 
 
+def test_model_files(spark, tmp_path):
+    from hitweave.functions.onnx import linear_model
+
+    rows = [(t, 1, 1, 1.0) for w in range(6) for t in range(100 * w + 1, 100 * w + 2 + 2 * w)]
+    df = spark.createDataFrame(rows, HIT)
+    weights = [1.0 if c == "hit_count" else 0.0 for c in [*windows.SCALARS, *range(windows.BINS)]]
+    (tmp_path / "m.nnt").write_bytes(linear_model(weights, -6.5))
+    model = triggers.read_model(spark, str(tmp_path / "m.nnt"))
+    seen = windows.aggregate(windows.assign(df, 100), 100)
+    assert {r["win"]: r["fires"] for r in triggers.fires_model(seen, model).collect()} == {w: 1 + 2 * w > 6.5 for w in range(6)}
+    assert not any(r["fires"] for r in triggers.fires_model(seen, model, one_class=True).collect())
+    settings = Settings()
+    settings.values["trigger"] |= {"trigger_file": str(tmp_path / "m.nnt"), "window_size": 156.25, "trigger_time": 0.0}
+    out = build(Graph.parse("r1tr1"), Context(spark, settings, {"r1": df}))["tr1"]
+    assert 0 < out.count() < len(rows)
+
+
 def test_empty_windows_and_first_window(spark):
     df = spark.createDataFrame([(250, 1, 1, 1.0), (260, 1, 1, 700.0), (900, 1, 1, 1.0)], HIT)
     out = {r["win"]: r for r in windows.features(df, 100).collect()}
