@@ -2,8 +2,8 @@
 
 Input: columns x, y, tick, e (and any others, which are kept).  Output: the same rows with
 ``cluster_id``, which is ``min(tick * 65536 + linear coordinate)`` over the cluster's hits, so it
-depends on the data alone.  Hits are first cut into sessions at gaps no cluster can cross; only
-sessions of several hits go through a Python kernel, many sessions in one task.
+depends on the data alone.  Hits are first cut into sessions at gaps no cluster can cross; the
+sessions then go through a kernel on Arrow batches, very many in one call.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from hitweave.model import CHIP, JOIN_TICKS, SPLIT_TICKS, ticks
 from hitweave.operators import kernels
 from hitweave.operators.ordered import sessions
 
-Kernel = Callable[[dict[str, np.ndarray]], list[int]]
+Kernel = Callable[[np.ndarray, dict[str, np.ndarray]], np.ndarray]
 
 
 def hit_key() -> Column:
@@ -34,7 +34,7 @@ def temporal(df: DataFrame, max_dt: int = JOIN_TICKS) -> DataFrame:
 
 
 def in_sessions(df: DataFrame, session: str, kernel: Kernel, needs: tuple[str, ...] = ("tick", "x", "y")) -> DataFrame:
-    """``df`` with cluster_id, by a kernel over each session's hits in time order."""
+    """``df`` with cluster_id, by a kernel over the sessions' hits in time order."""
     fields = [f for f in df.schema.fields if f.name != "cluster_id"]
     names = [f.name for f in fields]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", cluster_id long"
@@ -60,14 +60,10 @@ def in_sessions(df: DataFrame, session: str, kernel: Kernel, needs: tuple[str, .
         cols = {c: table.column(c).to_numpy() for c in needs}
         own = table.column(session).to_numpy()
         key = cols["tick"] * 65536 + cols["y"].astype(np.int64) * CHIP + cols["x"]
-        ids = np.zeros(len(own), np.int64)
-        edges = [*np.flatnonzero(np.diff(own, prepend=own[0] - 1)).tolist(), len(own)]
-        for start, end in zip(edges, edges[1:], strict=False):
-            label = np.array(kernel({c: v[start:end] for c, v in cols.items()}))
-            _, group = np.unique(label, return_inverse=True)
-            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, key[start:end])
-            ids[start:end] = least[group]
+        _, group = np.unique(kernel(own, cols), return_inverse=True)
+        least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, group, key)
+        ids = least[group]
         for batch in table.append_column("cluster_id", pa.array(ids)).to_batches(max_chunksize=10_000):
             yield batch
 
@@ -77,10 +73,7 @@ def in_sessions(df: DataFrame, session: str, kernel: Kernel, needs: tuple[str, .
 
 def _by_sessions(df: DataFrame, gap: int, kernel: Kernel, needs: tuple[str, ...] = ("tick", "x", "y")) -> DataFrame:
     rows = sessions(df.withColumn("__lin", F.col("y") * CHIP + F.col("x")), gap, "__session", tie=("__lin",)).drop("__lin")
-    rows = rows.withColumn("__n", F.count("*").over(Window.partitionBy("__session")))
-    alone = rows.filter("__n = 1").withColumn("cluster_id", hit_key())
-    several = in_sessions(rows.filter("__n > 1"), "__session", kernel, needs)
-    return alone.unionByName(several).drop("__session", "__n")
+    return in_sessions(rows, "__session", kernel, needs).drop("__session")
 
 
 def pixel_list(df: DataFrame, max_dt: int = JOIN_TICKS, tile: int = 1) -> DataFrame:
@@ -88,8 +81,8 @@ def pixel_list(df: DataFrame, max_dt: int = JOIN_TICKS, tile: int = 1) -> DataFr
     if CHIP % tile:
         raise ValueError("the tile size must divide 256")
 
-    def kernel(h: dict[str, np.ndarray]) -> list[int]:
-        return kernels.pixel_list(h["tick"], h["x"], h["y"], max_dt, tile)
+    def kernel(session: np.ndarray, h: dict[str, np.ndarray]) -> np.ndarray:
+        return kernels.pixel_list_sessions(session, h["tick"], h["x"], h["y"], max_dt, tile)
 
     return _by_sessions(df, max_dt, kernel)
 
@@ -102,8 +95,8 @@ def two_step(df: DataFrame, gap: int = SPLIT_TICKS, area: int = 25) -> DataFrame
     rows = rows.withColumn("__area", span("x") * span("y")).withColumn("__key", F.min(hit_key()).over(w))
     whole = rows.filter(F.col("__area") <= area).withColumn("cluster_id", F.col("__key"))
 
-    def kernel(h: dict[str, np.ndarray]) -> list[int]:
-        return kernels.split_group(h["tick"], h["x"], h["y"], gap - 1)
+    def kernel(session: np.ndarray, h: dict[str, np.ndarray]) -> np.ndarray:
+        return kernels.split_groups(session, h["tick"], h["x"], h["y"], gap - 1)
 
     split = in_sessions(rows.filter(F.col("__area") > area), "__session", kernel)
     return whole.unionByName(split).drop("__session", "__area", "__key")
@@ -113,8 +106,8 @@ def halo_boxes(df: DataFrame, window_ns: float = 1000.0, threshold: float = 120.
     """Halo bounding-box clustering in buffers of ``window_ns``; a gap longer than that always opens a new buffer."""
     window = ticks(window_ns)
 
-    def kernel(h: dict[str, np.ndarray]) -> list[int]:
-        return kernels.halo_boxes(h["tick"], h["x"], h["y"], h["e"], window, threshold)
+    def kernel(session: np.ndarray, h: dict[str, np.ndarray]) -> np.ndarray:
+        return kernels.each_session(session, lambda *c: kernels.halo_boxes(*c, window, threshold), h["tick"], h["x"], h["y"], h["e"])
 
     return _by_sessions(df, window + 1, kernel, ("tick", "x", "y", "e"))
 

@@ -1,12 +1,10 @@
-"""Sequential clustering kernels on plain arrays, one session at a time; no Spark here.
+"""Clustering kernels on plain arrays; no Spark here.
 
 All take hits in time order and return a cluster number for each hit.
 """
 
 from __future__ import annotations
 
-from collections import deque
-
 import numpy as np
 
 from hitweave.model import CHIP, JOIN_TICKS
@@ -68,30 +66,71 @@ def pixel_list(tick: np.ndarray, x: np.ndarray, y: np.ndarray, max_dt: int = JOI
     return [state.root(c) for c in own]
 
 
-def split_group(tick: np.ndarray, x: np.ndarray, y: np.ndarray, max_dt: int) -> list[int]:
-    """Connected components of hits that are neighbours and at most ``max_dt`` ticks apart."""
-    parent = list(range(len(tick)))
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    recent: dict[tuple[int, int], deque[tuple[int, int]]] = {}
-    for i, (t, px, py) in enumerate(zip(tick.tolist(), x.tolist(), y.tolist(), strict=True)):
-        for nx in (px - 1, px, px + 1):
-            for ny in (py - 1, py, py + 1):
-                hits = recent.get((nx, ny))
-                if not hits:
-                    continue
-                while hits and t - hits[0][0] > max_dt:
-                    hits.popleft()
-                for _, j in hits:
-                    a, b = root(i), root(j)
-                    parent[max(a, b)] = min(a, b)
-        recent.setdefault((px, py), deque()).append((t, i))
-    return [root(i) for i in range(len(tick))]
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the smallest row of its component under the links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def neighbours(session: np.ndarray, tick: np.ndarray, x: np.ndarray, y: np.ndarray, max_dt: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of one session that are neighbouring pixels and at most ``max_dt`` ticks apart; rows in time order."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    alive, d = np.arange(len(tick) - 1), 0
+    while len(alive):
+        d += 1
+        alive = alive[alive + d < len(tick)]
+        other = alive + d
+        on = (session[other] == session[alive]) & (tick[other] - tick[alive] <= max_dt)
+        alive, other = alive[on], other[on]
+        near = (np.abs(x[other] - x[alive]) <= 1) & (np.abs(y[other] - y[alive]) <= 1)
+        left.append(alive[near])
+        right.append(other[near])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def split_groups(session: np.ndarray, tick: np.ndarray, x: np.ndarray, y: np.ndarray, max_dt: int) -> np.ndarray:
+    """Connected components, in each session, of hits that are neighbours and at most ``max_dt`` ticks apart."""
+    return joined(len(tick), *neighbours(session, tick, x.astype(np.int32), y.astype(np.int32), max_dt))
+
+
+def pixel_list_sessions(session: np.ndarray, tick: np.ndarray, x: np.ndarray, y: np.ndarray, max_dt: int = JOIN_TICKS, tile: int = 1) -> np.ndarray:
+    """Pixel-list labels of many sessions in time order, by the number of a row in the cluster.
+
+    In a session shorter than ``max_dt`` no pixel is ever too old, so its clusters are the connected
+    parts of its pixels, which all such sessions get at once; only longer ones go hit by hit.
+    """
+    edge = np.append(np.flatnonzero(np.append(True, session[1:] != session[:-1])), len(session)) if len(session) else np.zeros(1, np.int64)
+    size = np.diff(edge)
+    short = (tick[edge[1:] - 1] - tick[edge[:-1]] < max_dt) & (size <= 256) if len(size) else np.zeros(0, bool)
+    label = np.arange(len(session))
+    at = np.flatnonzero(np.repeat(short, size))
+    own = neighbours(session[at], tick[at], (x[at] // tile).astype(np.int32), (y[at] // tile).astype(np.int32), max_dt)
+    label[at] = at[joined(len(at), *own)]
+    for s in np.flatnonzero(~short).tolist():
+        rows = np.arange(edge[s], edge[s + 1])
+        _, group = np.unique(pixel_list(tick[rows], x[rows], y[rows], max_dt, tile), return_inverse=True)
+        first = np.full(group.max() + 1, len(session))
+        np.minimum.at(first, group, rows)
+        label[rows] = first[group]
+    return label
+
+
+def each_session(session: np.ndarray, kernel, *columns: np.ndarray) -> np.ndarray:
+    """Labels of a kernel for single sessions, made different from session to session."""
+    out, made = np.zeros(len(session), np.int64), 0
+    edges = [*np.flatnonzero(np.append(True, session[1:] != session[:-1])).tolist(), len(session)] if len(session) else [0]
+    for start, end in zip(edges, edges[1:], strict=False):
+        own = np.array(kernel(*(c[start:end] for c in columns)))
+        out[start:end] = made + own
+        made += int(own.max()) + 1
+    return out
 
 
 def halo_boxes(tick: np.ndarray, x: np.ndarray, y: np.ndarray, e: np.ndarray, window: int, threshold: float = 120.0, max_dt: int = JOIN_TICKS, tile: int = 2) -> list[int]:

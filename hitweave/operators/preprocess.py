@@ -64,6 +64,14 @@ def replay(raw: DataFrame, times: int, first_toa: int, last_toa: int) -> DataFra
     return again.withColumn("toa", F.col("toa") + F.col("repetition") * (last_toa - first_toa))
 
 
+def repeat(raw: DataFrame, times: int, size: int = 0, order: str = "line") -> DataFrame:
+    """A recording over and over: its first ``size`` hits in file order (all, if not positive), shifted by their span each time."""
+    if size > 0:
+        raw = numbered(raw, [order], F.floor(F.col(order) / (1 << 16)), "__place").filter(F.col("__place") <= size).drop("__place")
+    ends = raw.agg(F.min_by("toa", order).alias("first"), F.max_by("toa", order).alias("last")).first()
+    return raw.limit(0).withColumn("repetition", F.lit(0)) if ends["first"] is None else replay(raw, times, ends["first"], ends["last"])
+
+
 def scale_frequency(clustered: DataFrame, factor: float) -> DataFrame:
     """Clustered hits with the time between clusters divided by ``factor`` and that within them kept; toa and fast_toa follow."""
     first = clustered.groupBy("cluster_id").agg(F.min("tick").alias("__first"))

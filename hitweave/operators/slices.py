@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.model import CHIP, JOIN_TICKS, SLICE_NS, SLICE_TICKS, TICK_NS
@@ -58,8 +58,8 @@ def two_way(bounds: DataFrame) -> DataFrame:
 def sliced_clusters(hits: DataFrame, max_dt: int = JOIN_TICKS, tile: int = 1) -> DataFrame:
     """Pixel-list clusters of each slice by itself (columns slice and cluster_id added)."""
 
-    def kernel(h) -> list[int]:
-        return kernels.pixel_list(h["tick"], h["x"], h["y"], max_dt, tile)
+    def kernel(session, h):
+        return kernels.pixel_list_sessions(session, h["tick"], h["x"], h["y"], max_dt, tile)
 
     rows = hits.withColumn("slice", F.floor(F.col("tick") / SLICE_TICKS).cast("long"))
     return in_sessions(rows, "slice", kernel)
@@ -84,7 +84,7 @@ def merge_borders(clustered: DataFrame, max_dt: int = JOIN_TICKS) -> DataFrame:
     return out.withColumn("cluster_id", F.coalesce("root", "cluster_id")).drop("root")
 
 
-def merge_roots(links: DataFrame, rounds: int = 30) -> DataFrame:
+def merge_roots(links: DataFrame) -> DataFrame:
     """node and root, the smallest id of its component; labels spread until nothing changes."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     if not links.sparkSession.sparkContext.getCheckpointDir():
@@ -93,13 +93,12 @@ def merge_roots(links: DataFrame, rounds: int = 30) -> DataFrame:
         links.sparkSession.sparkContext.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     both = both.checkpoint()
     label = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    for _ in range(rounds):
+    while True:
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         after = label.join(seen, "node").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")).checkpoint()
         label = after.select("node", "root")
         if not after.filter("moved").limit(1).count():
-            break
-    return label
+            return label
 
 
 def time_union(parts: list[DataFrame], order: list[str]) -> DataFrame:
@@ -118,7 +117,3 @@ def ranked_union(parts: list[DataFrame], order: list[str]) -> DataFrame:
 def write_lanes(clustered: DataFrame, path: str) -> None:
     """A folder for each lane, without a final sort."""
     clustered.write.partitionBy("lane").parquet(path)
-
-
-def previous_in(order: str) -> Window:
-    return Window.orderBy(order).rowsBetween(-1, -1)

@@ -100,9 +100,13 @@ def _gate(c: Context, inputs: list[DataFrame]) -> DataFrame:
 
 
 def _repeat(c: Context, inputs: list[DataFrame]) -> DataFrame:
-    raw = _one(inputs)
-    first, last = raw.agg(F.min("toa"), F.max("toa")).first()
-    return preprocess.replay(raw, c.settings.get("reader", "repetition_count"), first, last)
+    """Raw hits with their line; with a frequency factor, the time between temporal clusters is scaled first."""
+    size, factor = c.settings.get("reader", "repetition_size"), c.settings.get("reader", "freq_multiplier")
+    raw = preprocess.repeat(_one(inputs), c.settings.get("reader", "repetition_count"), size).drop("repetition")
+    if factor == 1:
+        return raw
+    hits = clustering.pixel_list(preprocess.uncalibrated(preprocess.decode(raw)), _max_dt(c))
+    return preprocess.scale_frequency(hits, factor).select("line", "linear_coord", "toa", "fast_toa", "tot")
 
 
 def _windows(c: Context, inputs: list[DataFrame]) -> DataFrame:

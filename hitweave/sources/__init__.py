@@ -16,10 +16,13 @@ from hitweave.operators.ordered import prefix_sums
 BOM = "\ufeff"
 
 
-def text_hits(spark: SparkSession, path: str) -> DataFrame:
-    """Raw hits of text files: ``linear_coord toa fast_toa tot`` by white space; ``#`` lines, blank ones and a BOM are skipped."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", BOM, "")).alias("value"))
-    return parse_hits(lines)
+def text_hits(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Raw hits of text files: ``linear_coord toa fast_toa tot`` by white space; ``#`` lines, blank ones and a BOM are skipped.
+
+    ``numbered`` adds column line, the place in the file.
+    """
+    lines = numbered_lines(spark, path) if numbered else spark.read.text(path)
+    return parse_hits(lines.withColumn("value", F.trim(F.regexp_replace("value", BOM, ""))))
 
 
 def parse_hits(lines: DataFrame) -> DataFrame:
@@ -28,6 +31,7 @@ def parse_hits(lines: DataFrame) -> DataFrame:
     part = F.split("value", r"\s+")
     number = lambda i, kind: F.try_element_at(part, F.lit(i)).try_cast(kind)
     out = rows.select(
+        *(["line"] if "line" in lines.columns else []),
         number(1, "int").alias("linear_coord"), number(2, "bigint").alias("toa"), number(3, "smallint").alias("fast_toa"), number(4, "smallint").alias("tot")
     )
     return out.filter(F.col("linear_coord").isNotNull() & (F.col("toa") >= 0) & F.col("tot").isNotNull())
@@ -53,6 +57,19 @@ def calibration_for(data_file: str, folders: list[str]) -> str:
     return found[0]
 
 
+def calibrations(data_files: list[str], folders: list[str], mode: str = "automatic") -> dict[str, str | None]:
+    """The calibration folder of each data file: by name, in the order given, one for all, or none."""
+    if mode == "none":
+        return dict.fromkeys(data_files)
+    if mode == "automatic":
+        return {f: calibration_for(f, folders) for f in data_files}
+    if mode == "same" and len(folders) == 1:
+        return dict.fromkeys(data_files, folders[0])
+    if mode == "manual" and len(folders) == len(data_files):
+        return dict(zip(data_files, folders, strict=True))
+    raise ValueError(f"{mode}: {len(folders)} calibration folders for {len(data_files)} files")
+
+
 def clusters(spark: SparkSession, ini_path: str) -> DataFrame:
     """Hits with cluster_no, first_toa, hit_count from a clustered dataset (.ini with its _cl and _px files)."""
     ini = {k.strip(): v.strip() for line in spark.read.text(ini_path).toPandas()["value"] if "=" in line for k, _, v in [line.partition("=")]}
@@ -68,8 +85,8 @@ def clusters(spark: SparkSession, ini_path: str) -> DataFrame:
     return pixels.join(own, "line").select(F.col("line_start").alias("cluster_no"), "first_toa", "hit_count", "x", "y", "toa", "e")
 
 
-def _pixel_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line, x, y, toa, e of a file or a folder of ordered part files.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0) and value of a text file or a folder of ordered part files.
 
     Lines are numbered within each file split as it is read; the splits before add their counts.
     """
@@ -89,10 +106,15 @@ def _pixel_lines(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each split
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
     sizes = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rows = lines.join(sizes, ["file", "block"]).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return lines.join(sizes, ["file", "block"]).select((F.col("place") + F.col("before")).alias("line"), "value")
+
+
+def _pixel_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line, x, y, toa, e."""
+    rows = numbered_lines(spark, path).filter((F.trim("value") != "") & ~F.col("value").startswith("#"))
     part = F.split(F.trim("value"), r"\s+")
     fields = (("x", "int"), ("y", "int"), ("toa", "double"), ("e", "double"))
-    return rows.select((F.col("place") + F.col("before")).alias("line"), *(F.element_at(part, i + 1).cast(kind).alias(c) for i, (c, kind) in enumerate(fields)))
+    return rows.select("line", *(F.element_at(part, i + 1).cast(kind).alias(c) for i, (c, kind) in enumerate(fields)))
 
 
 def _bits(frame: Column, low: int, width: int) -> Column:

@@ -94,6 +94,15 @@ def pixel_list_clusters(hits: DataFrame, max_dt: int = JOIN_TICKS, tile: int = 1
     )
 
 
+def throughput(progress: list) -> dict[str, float]:
+    """Mean and median of input rows a second over the batches of ``query.recentProgress`` that had rows, and all rows."""
+    rates = sorted(p["processedRowsPerSecond"] for p in progress if p["numInputRows"])
+    rows = float(sum(p["numInputRows"] for p in progress))
+    if not rates:
+        return {"rows": rows, "mean": 0.0, "median": 0.0}
+    return {"rows": rows, "mean": sum(rates) / len(rates), "median": rates[len(rates) // 2]}
+
+
 def late_rows(hits: DataFrame, arrival: str, lateness: int = REORDER_TICKS, block: int = 1 << 16) -> DataFrame:
     """The hits that come more than ``lateness`` ticks after the latest time seen before them, in the order of ``arrival``."""
     from pyspark.sql import Window

@@ -49,12 +49,34 @@ def test_pixel_list_kernel(seed):
     assert groups(hits, kernels.pixel_list(t, x, y)) == model(hits)
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_many_sessions_at_once(seed):
+    hits = random_hits(seed, 400, step=70)
+    t, x, y = (np.array(c) for c in zip(*hits, strict=True))
+    session = np.maximum.accumulate(np.where(np.diff(t, prepend=-1000) >= 128, t, 0))
+    assert groups(hits, kernels.pixel_list_sessions(session, t, x, y)) == model(hits)
+    parts = kernels.split_groups(session, t, x, y, 19)
+    near = lambda a, b: abs(a[0] - b[0]) <= 19 and abs(a[1] - b[1]) <= 1 and abs(a[2] - b[2]) <= 1
+    left = set(hits)
+    want = set()
+    while left:
+        todo, own = [left.pop()], set()
+        while todo:
+            h = todo.pop()
+            own.add(h)
+            close = {o for o in left if near(h, o)}
+            left -= close
+            todo += close
+        want.add(frozenset(own))
+    assert groups(hits, parts) == want
+
+
 def test_old_pixel_attracts():
     """A pixel of a cluster that lives on elsewhere still attracts hits, though its own hit is too old."""
     hits = [(0, 5, 5), (96, 6, 5), (192, 4, 5)]
     t, x, y = (np.array(c) for c in zip(*hits, strict=True))
     assert len(set(kernels.pixel_list(t, x, y))) == 1
-    assert len(set(kernels.split_group(t, x, y, 127))) == 2
+    assert len(set(kernels.split_groups(np.zeros(3, int), t, x, y, 127).tolist())) == 2
 
 
 def test_three_way_merge_and_strict_gap():

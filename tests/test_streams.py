@@ -164,6 +164,30 @@ def test_text_hits(spark, tmp_path):
     assert [(r["x"], r["y"], r["tick"]) for r in rows] == [(1, 2, 15_997), (255, 255, 31_985)]
 
 
+def test_repeated_recording(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("# x\n1 100 0 5\n2 90 0 5\n3 130 0 5\n4 500 0 5\n")
+    raw = sources.text_hits(spark, str(tmp_path / "a.txt"), numbered=True)
+    assert [r["line"] for r in raw.orderBy("line").collect()] == [1, 2, 3, 4]
+    out = preprocess.repeat(raw, 3, size=3)  # first and last in file order: a shift of 30
+    assert sorted(r["toa"] for r in out.collect()) == sorted(t + 30 * k for t in (100, 90, 130) for k in range(3))
+    assert preprocess.repeat(raw.limit(0), 3).count() == 0
+    settings = Settings()
+    settings.values["reader"] |= {"repetition_count": 2, "freq_multiplier": 2.0}
+    twice = build(Graph.parse("r1rr1"), Context(spark, settings, {"r1": raw}))["rr1"]
+    assert sorted(r["toa"] for r in twice.collect()) == sorted(twice_model([100, 90, 130, 500], 400))
+
+
+def twice_model(toas, span):
+    """No two hits are one cluster, so all times are halved."""
+    return [-(-(t + k * span) // 2) for t in toas for k in range(2)]
+
+
+def test_throughput():
+    rows = [{"numInputRows": n, "processedRowsPerSecond": r} for n, r in ((0, 0.0), (10, 5.0), (30, 7.0), (20, 9.0))]
+    assert streaming.throughput(rows) == {"rows": 60.0, "mean": 7.0, "median": 7.0}
+    assert streaming.throughput([])["mean"] == 0
+
+
 def test_calibration_files(spark, tmp_path):
     for n, name in enumerate("abct"):
         (tmp_path / f"{name}.txt").write_text("\n".join(" ".join(str(n + x + 1000 * y) for x in range(256)) for y in range(256)) + "\n")
@@ -173,6 +197,12 @@ def test_calibration_files(spark, tmp_path):
     assert sources.calibration_for("x/run_F4-W1_2.txt", ["c/F4-W1", "c/F5"]) == "c/F4-W1"
     with pytest.raises(ValueError):
         sources.calibration_for("x/run.txt", ["c/F4-W1"])
+    files = ["a_F1.txt", "b_F2.txt"]
+    assert sources.calibrations(files, ["F2", "F1"]) == {"a_F1.txt": "F1", "b_F2.txt": "F2"}
+    assert sources.calibrations(files, ["x", "y"], "manual") == {"a_F1.txt": "x", "b_F2.txt": "y"}
+    assert set(sources.calibrations(files, ["x"], "same").values()) == {"x"} and set(sources.calibrations(files, [], "none").values()) == {None}
+    with pytest.raises(ValueError):
+        sources.calibrations(files, ["x"], "manual")
 
 
 def test_cluster_files_round_trip(spark, tmp_path):
