@@ -34,6 +34,8 @@ LABELLED = 20_000
 SMOOTH = 4.0
 #: Scale of the Gumbel noise, in the units of the margin.
 TEMPERATURE = 0.05
+#: The cut is never above this margin: a text is rejected on evidence against it, not for want of evidence.
+SURE = -0.5
 #: All digits count as one.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
 _REPEAT, _NEW = BUCKETS, BUCKETS + 1
@@ -101,7 +103,7 @@ def fit_cut(good: np.ndarray, bad: np.ndarray) -> float:
     cost = 2 * below_good / len(good) + kept_bad / len(bad)
     best = np.flatnonzero(cost == cost.min())
     at = int(best[0])
-    return float(cuts[at] if at == 0 else (cuts[at] + cuts[at - 1]) / 2)
+    return min(SURE, float(cuts[at] if at == 0 else (cuts[at] + cuts[at - 1]) / 2))
 
 
 class Model:

@@ -313,6 +313,8 @@ def test_quality(spark, empty):
     assert set(range(n)) <= ids and len(ids - set(range(n))) <= 2 and kept.schema == df.schema
     with_weights = quality.resample(df, model)
     assert with_weights.count() == len(ids) and with_weights.columns[-2:] == ["log_weight", "gumbel_key"]
+    few = quality.fit(df, labels.filter(f"doc_id in (5, 7, {n + 1})"))  # hardly any labels: texts that say nothing stay
+    assert set(range(4)) <= {r["doc_id"] for r in quality.resample(df, few).collect()}
     nothing = quality.fit(df, labels.filter("quality = 1"))
     assert quality.resample(df, nothing).count() == df.count()
     assert quality.resample(empty, quality.fit(empty, labels)).count() == 0
