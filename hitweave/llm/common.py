@@ -42,11 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def full_text(col: str = "text"):
-    """The whole text, a null one as empty."""
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def finite_vector(col: str):
     """True for a vector that is not null and holds only finite, non-null components."""
     c = F.col(col)

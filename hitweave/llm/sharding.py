@@ -6,7 +6,7 @@ histogram: a round counts exact bytes and rows below each of them in all partiti
 only the ranges that hold a splitter and are still wider than the tolerance, or hold too many rows
 for one task, are counted again with edges 256 times finer.  Then rows are exchanged once, by range.
 
-Defined results: a null text has size 1 and the checksum of no bytes; a null id is a key like any
+Defined results: a null text counts as empty, with size 1 and the checksum of no bytes; a null id is a key like any
 other; repeated rows are told apart by their row number; an empty table gives an empty result.
 """
 
@@ -38,7 +38,7 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             F.col(id_col),
             (F.octet_length(text).cast("long") + 1).alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-            F.xxhash64(F.col(text_col).isNull(), text).alias("h1"),
+            F.xxhash64(text).alias("h1"),
             F.xxhash64(F.col(id_col).isNull(), F.col(id_col)).alias("h2"),
             F.xxhash64(F.monotonically_increasing_id()).alias("h3"),
         ),
@@ -46,25 +46,6 @@ def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
-def _prefix(depth: int):
-    """The word that a prefix of ``depth`` bits ends in, and how many of its bits it has."""
-    return depth // 64, depth % 64
-
-
-def _order(words: list[int]) -> tuple[int, ...]:
-    return tuple(w & (2**64 - 1) for w in words)
-
-
-class Ranges:
-    """Sorted, disjoint key ranges with exact rows and bytes; each is a prefix of the 192-bit key."""
-
-    def __init__(self):
-        self.rows: list[tuple[int, int, int, int]] = []  # prefix as a number of ``depth`` bits, depth, rows, bytes
-
-    def sort(self) -> None:
-        self.rows.sort(key=lambda r: r[0] << (192 - r[1]))
-
-
 def _count(rows: DataFrame, depth: int, wanted: list[tuple[int, int]] | None) -> list[tuple[int, int, int]]:
     """(prefix of ``depth`` bits, rows, bytes), only below the ``wanted`` (prefix, depth) ranges if given.
 
