@@ -11,9 +11,6 @@ from dataclasses import dataclass, field
 TICK_NS = 1.5625
 CHIP = 256
 
-RAW_HIT = "linear_coord int, toa bigint, fast_toa smallint, tot smallint"
-CLUSTER_FILE = "first_toa double, hit_count bigint, line_start bigint, byte_start bigint"
-
 
 def ticks(ns: float) -> int:
     """The number of whole ticks in a span of nanoseconds."""

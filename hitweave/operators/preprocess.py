@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave import functions as H
-from hitweave.model import SLICE_TICKS, TICK_NS
-from hitweave.operators.ordered import numbered, runs
+from hitweave.model import TICK_NS
+from hitweave.operators.ordered import BUCKET, numbered, runs
 
 
 def valid(raw: DataFrame) -> DataFrame:
@@ -42,13 +42,13 @@ def to_raw(hits: DataFrame) -> DataFrame:
 
 def drop_faulty(hits: DataFrame, order: list[str], repeats: int = 10, pixel: str = "lin") -> DataFrame:
     """Without each hit that is more than the ``repeats``-th in a row from one pixel."""
-    rows = runs(hits, pixel, order, F.floor(F.col("tick") / SLICE_TICKS), "__place")
+    rows = runs(hits, pixel, order, F.floor(F.col("tick") / BUCKET), "__place")
     return rows.filter(F.col("__place") <= repeats).drop("__place")
 
 
 def time_sorted(hits: DataFrame, order: list[str]) -> DataFrame:
     """Hits with row_no, their place in time; written out by ranges of time they need no global sort."""
-    return numbered(hits, order, F.floor(F.col("tick") / SLICE_TICKS))
+    return numbered(hits, order, F.floor(F.col("tick") / BUCKET))
 
 
 def range_sorted(hits: DataFrame, partitions: int | None = None) -> DataFrame:

@@ -108,10 +108,10 @@ def time_union(parts: list[DataFrame], order: list[str]) -> DataFrame:
 
 def ranked_union(parts: list[DataFrame], order: list[str]) -> DataFrame:
     """Several cluster streams with row_no, their common order by time; no global sort."""
-    from hitweave.operators.ordered import numbered
+    from hitweave.operators.ordered import BUCKET, numbered
 
     both = reduce(DataFrame.unionByName, parts)
-    return numbered(both, order, F.floor(F.col("first_tick") / SLICE_TICKS))
+    return numbered(both, order, F.floor(F.col("first_tick") / BUCKET))
 
 
 def write_lanes(clustered: DataFrame, path: str) -> None:

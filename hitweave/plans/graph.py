@@ -12,7 +12,6 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hitweave import sources
 from hitweave.model import Settings, ticks

@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.model import SLICE_TICKS, TICK_NS
+from hitweave.model import TICK_NS
 from hitweave.operators import windows
-from hitweave.operators.ordered import prefix_sums
+from hitweave.operators.ordered import BUCKET, prefix_sums
 
 
 def pixel_text(nested: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def cluster_offsets(nested: DataFrame) -> DataFrame:
     Lines and bytes before a cluster are prefix sums in two levels, so nothing is sorted globally.
     """
     rows = pixel_text(nested).withColumn("__lines", F.col("hit_count") + 1).withColumn("__bytes", F.octet_length("text").cast("long"))
-    bucket = F.floor(F.col("first_toa") / F.lit(TICK_NS) / SLICE_TICKS)
+    bucket = F.floor(F.col("first_toa") / F.lit(TICK_NS) / BUCKET)
     rows = prefix_sums(rows, ["__lines", "__bytes"], ["first_toa", "cluster_id"], bucket)
     return rows.select("cluster_id", "first_toa", "hit_count", F.col("__lines_before").alias("line_start"), F.col("__bytes_before").alias("byte_start"), "text")
 

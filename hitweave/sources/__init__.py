@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hitweave.model import SLICE_TICKS
-from hitweave.operators.ordered import prefix_sums
+from hitweave.operators.ordered import BUCKET, last_before, prefix_sums
 
 #: Byte order mark.
 BOM = "\ufeff"
@@ -131,10 +130,8 @@ def decode_frames(frames: DataFrame, order: str = "frame_no", block: int = 1 <<
     rows = frames.withColumn("__kind", kind).withColumn("__block", F.floor(F.col(order) / block))
     rows = rows.withColumn("__offset", F.when(F.col("__kind") == 5, _bits(frame, 0, 32)))
     seen = F.max_by("__offset", F.when(F.col("__offset").isNotNull(), F.col(order)))
-    ends = rows.groupBy("__block").agg(seen.alias("__last"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("__block", F.coalesce(F.last("__last", ignorenulls=True).over(before), F.lit(0)).alias("__carry"))
-    rows = rows.join(ends, "__block")
+    ends = last_before(rows.groupBy("__block").agg(seen.alias("__last")).persist(), "__block", "__last")
+    rows = rows.join(ends.select("__block", F.coalesce("__last_before", F.lit(0)).alias("__carry")), "__block")
     inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__offset", F.coalesce(F.last("__offset", ignorenulls=True).over(inside), "__carry"))
     return rows.filter(F.col("__kind").isin(0, 1, 4)).select(
@@ -177,7 +174,7 @@ def chip_id(word: Column) -> Column:
 
 def encode_frames(hits: DataFrame, order: list[str]) -> DataFrame:
     """frame_no and frame of raw hits in the given order, with an offset frame wherever the high part of the time changes."""
-    rows = prefix_sums(hits.withColumn("__one", F.lit(1)), ["__one"], order, F.floor(F.col("toa") * 16 / SLICE_TICKS))
+    rows = prefix_sums(hits.withColumn("__one", F.lit(1)), ["__one"], order, F.floor(F.col("toa") * 16 / BUCKET))
     body = (
         F.lit(4 << 44).bitwiseOR(F.shiftleft(F.col("linear_coord").cast("long"), 28))
         .bitwiseOR(F.shiftleft(F.col("toa") % 16384, 14)).bitwiseOR(F.shiftleft((F.col("tot") % 1024).cast("long"), 4)).bitwiseOR(F.col("fast_toa").cast("long"))

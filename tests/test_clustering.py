@@ -94,7 +94,7 @@ def test_tiles_must_divide_the_chip():
         kernels.Clusters(tile=3)
 
 
-@pytest.mark.parametrize("bucket", [64, 1000, 163_840])
+@pytest.mark.parametrize("bucket", [1, 64, 1000, 163_840])
 def test_sessions(spark, bucket):
     hits = random_hits(bucket, 400)
     df = spark.createDataFrame([(t, x, y, 1.0) for t, x, y in hits], HIT).withColumn("lin", F.col("y") * 256 + F.col("x"))
@@ -107,10 +107,10 @@ def test_sessions(spark, bucket):
         before = h[0]
 
 
-@pytest.mark.parametrize("bucket", [32, 100_000])
+@pytest.mark.parametrize("bucket", [1, 32, 100_000])
 def test_runs_cross_buckets(spark, bucket):
     rng = random.Random(3)
-    keys = [rng.choice("aab") for _ in range(300)]
+    keys = [rng.choice("aab") for _ in range(300)] + ["a"] * 9000 + ["b"]
     df = spark.createDataFrame(list(enumerate(keys)), "tick long, key string")
     got = {r["tick"]: r["place"] for r in ordered.runs(df, "key", ["tick"], F.floor(F.col("tick") / bucket), "place").collect()}
     place = 0

@@ -5,15 +5,16 @@ from __future__ import annotations
 import random
 import socket
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from hitweave import sinks, sources, streaming
 from hitweave.model import Settings
-from hitweave.operators import analysis, clustering, preprocess, rates, triggers, windows
+from hitweave.operators import analysis, clustering, preprocess, rates, slices, triggers, windows
 from hitweave.plans import cli
-from hitweave.plans.graph import Context, Graph, build, recipe
+from hitweave.plans.graph import Context, Graph, build, cluster_slices, recipe
 
 HIT = "tick long, x int, y int, e double"
 
@@ -226,6 +227,50 @@ def test_frames(spark):
     assert word == "D3-W00018"
 
 
+def test_raw_text_round_trip(spark, tmp_path):
+    raw = spark.createDataFrame([(513, 5, 3, 20), (7, 900, 0, 1)], "linear_coord int, toa long, fast_toa int, tot int")
+    sinks.write_raw(raw, str(tmp_path / "raw"))
+    assert sorted(map(tuple, sources.text_hits(spark, str(tmp_path / "raw")).collect())) == sorted(map(tuple, raw.collect()))
+
+
+def test_lanes_and_unions(spark, tmp_path):
+    df = spark.createDataFrame([(t, 5, 5, 1.0) for t in (0, 200_000, 700_000)], HIT)
+    slices.write_lanes(slices.slice_of(df, 4), str(tmp_path / "lanes"))
+    back = spark.read.parquet(str(tmp_path / "lanes"))
+    assert {r["tick"]: r["lane"] for r in back.collect()} == {0: 0, 200_000: 1, 700_000: 0}
+    both = slices.time_union([df.filter("tick > 0"), df.filter("tick = 0")], ["tick"])
+    assert [r["tick"] for r in both.collect()] == [0, 200_000, 700_000]
+    assert cluster_slices(df, 128).select("cluster_id").distinct().count() == 3
+
+
+def test_log_values_and_discarded(spark):
+    lines = spark.createDataFrame([("rate 10 x",), ("rate 20",), ("other 5",)], "value string")
+    row = analysis.log_values(lines, r"rate (\d+)").first()
+    assert (row["mean"], row["n"]) == (15.0, 2)
+    df = spark.createDataFrame([(t, 5, 5, 1.0) for t in range(4)], HIT)
+    assert triggers.discarded_share(df, df.filter("tick < 1")).first()["discarded"] == 0.75
+
+
+def test_udp_stream(spark, tmp_path):
+    """Datagrams sent to the source arrive as rows."""
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as probe:
+        probe.bind(("127.0.0.1", 0))
+        port = probe.getsockname()[1]
+    spark.dataSource.register(streaming.UdpDatagrams)
+    read = spark.readStream.format("hit_udp").option("port", port).load()
+    q = read.writeStream.format("memory").queryName("datagrams").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as s:
+            for _ in range(300):
+                s.sendto(b"\1" * 12, ("127.0.0.1", port))
+                time.sleep(0.05)
+                if spark.table("datagrams").count() >= 3:
+                    break
+        assert spark.table("datagrams").count() >= 3
+    finally:
+        q.stop()
+
+
 def test_settings():
     s = Settings.parse(["", "clusterer", "-tile_size:4", "-max_dt:100", "reader", "-split:false"])
     assert s.get("clusterer", "tile_size") == 4 and s.get("clusterer", "max_dt") == 100.0 and s.get("reader", "split") is False
