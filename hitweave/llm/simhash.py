@@ -16,7 +16,7 @@ only if all its ids are null; repeated rows give repeated results; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -199,12 +199,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
     """One row of each component of near-duplicates, whole: the one with the smallest id (null ids last), of repeated rows any."""
+    return first_of_each(df, id_col, text_col, lambda rows, keep: near_duplicates(rows, "id", "text", max_bits, shingle, keep))
+
+
+def first_of_each(df: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
+    """``keep_one`` for the groups (column root) that ``find`` gives rows of id, text and the columns it has to keep."""
     names = df.columns
     own = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
     k1, k2 = fresh(df, "__k1", "__k2")
     rows = df.withColumn(k1, F.xxhash64(*own)).withColumn(k2, F.xxhash64(F.lit(1), *own))
     narrow = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
-    found = near_duplicates(narrow, "id", "text", max_bits, shingle, ("k1", "k2"))
+    found = find(narrow, ("k1", "k2"))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
     kept = materialize(found.groupBy("root").agg(first).select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2)), "kept")
     # a row is found again by two hashes of id and text: 128 bits
