@@ -79,4 +79,34 @@ TEMPLATES = [
     ),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    (
+        "mit",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    ),
+    (
+        "agpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
+        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("cc0", "Licensed under CC0 1.0"),
+    ("cc0", "This work is licensed under a Creative Commons CC0 1.0 Universal Public Domain Dedication"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
+
+# The Creative Commons licences in short and in full, but for what stands above.
+_CC = {
+    "cc-by": "Attribution",
+    "cc-by-sa": "Attribution-ShareAlike",
+    "cc-by-nd": "Attribution-NoDerivatives",
+    "cc-by-nc": "Attribution-NonCommercial",
+    "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike",
+    "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
+}
+_KNOWN = {text for _, text in TEMPLATES}
+for _label, _name in _CC.items():
+    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
+        _short = f"Licensed under CC {_label[3:].upper()} {_version}"
+        _long = f"This work is licensed under a Creative Commons {_name} {_version} {_port} License"
+        TEMPLATES += [(_label, _text) for _text in (_short, _long) if _text not in _KNOWN]

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from hitweave.llm.license_texts import PHRASES, TEMPLATES
 
-#: Matches of fewer words aren't chained unless they cover a whole template.
+#: Matches of fewer words don't begin a chain; from PAIR words on they join one.
 MIN_MATCH = 4
+PAIR = 2
 #: Covered share of a template that gives its label.
 COVERED = 0.6
 #: Words between two matches of a chain.
@@ -145,12 +146,12 @@ class Scanner:
                     size = length[state]
                 if word in follow[state]:
                     state, size = follow[state][word], size + 1
-                if before >= MIN_MATCH and size <= before:
+                if before >= PAIR and size <= before:
                     matches.append((i - before, i, was))
                 for n, label in self.phrases[state]:
                     if n <= size:
                         base.append((i + 1 - n, label))
-            if size >= MIN_MATCH:
+            if size >= PAIR:
                 matches.append((end - size, end, state))
         return len(words), base, self.chain(matches)
 
@@ -158,10 +159,14 @@ class Scanner:
         """Chains of matches in the order of text and template that cover a template far enough."""
         chains: dict[int, list[list[int]]] = {}  # by template: [text start, text end, template end, covered]
         done: list[tuple[int, list[int]]] = []
+        latest = -GAP - 1  # where the last chain ends
         for start, end, state in matches:
+            short = end - start < MIN_MATCH
+            if short and start - latest > GAP:
+                continue
             seen: set[int] = set()
-            for t, upto in self.auto.ends[state]:
-                if t >= self.first_phrase or t in seen:
+            for t, _ in self.auto.ends[state]:
+                if t >= self.first_phrase or t in seen or (short and t not in chains):
                     continue
                 alive = []
                 for c in chains.get(t, []):
@@ -174,14 +179,38 @@ class Scanner:
                     for c in alive:
                         # what overlaps on either side counts once
                         new = min(end - max(start, c[1]), place - max(place - (end - start), c[2]))
-                        if new > 0 and (best is None or c[3] + new > best[0]):
+                        far = short and place - (end - start) - c[2] > GAP
+                        if new > 0 and not far and (best is None or c[3] + new > best[0]):
                             best = (c[3] + new, c, place)
-                if best:
+                if best and short:  # it may have joined at the wrong place, so the chain goes on without it as well
+                    alive.append([best[1][0], end, best[2], best[0]])
+                elif best:
                     best[1][1], best[1][2], best[1][3] = end, best[2], best[0]
-                else:
+                elif not short:
                     alive.append([start, end, places[0], end - start])
+                if best or not short:
+                    latest = max(latest, end)
         done += [(t, c) for t, own in chains.items() for c in own]
-        out = {(self.labels[t], c[0], c[1], c[3] / self.sizes[t]) for t, c in done if c[3] >= COVERED * self.sizes[t]}
+        return self.preferred([(t, c) for t, c in done if c[3] >= COVERED * self.sizes[t]])
+
+    def preferred(self, found: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """The spans of chains, but for those beside a chain of another label, or of the same template, that covers as much and skips less."""
+        runs: list[list[tuple[int, list[int], int]]] = []  # of overlapping chains: template, chain, words of text and template it skips
+        upto = -1
+        for t, c in sorted(found, key=lambda f: f[1][0]):
+            if c[0] >= upto:
+                runs.append([])
+            runs[-1].append((t, c, c[1] - c[0] - c[3] + self.sizes[t] - c[3]))
+            upto = max(upto, c[1])
+        out = set()
+        for run in runs:
+            for t, c, own in run:
+                better = (
+                    (u == t or self.labels[u] != self.labels[t]) and d[0] < c[1] and c[0] < d[1] and d[3] >= c[3] and other <= own and (d[3], other) != (c[3], own)
+                    for u, d, other in run
+                )
+                if not any(better):
+                    out.add((self.labels[t], c[0], c[1], c[3] / self.sizes[t]))
         return sorted(out, key=lambda s: (s[1], s[0], s[2]))
 
 
