@@ -3,7 +3,8 @@ r"""Secret scan with corpus-wide ownership frequency, in DataFrame functions onl
 Every text is matched against the base kinds (assign, access, hex) and against a wide pattern for
 long mixed tokens.  The hashes of all found values are aggregated over the corpus by distinct
 owners and repositories: a value that many owners share is a copied example, one that stays with a
-few is a live-looking credential.  Base spans always stay; the wide pattern's live-looking values
+few is a live-looking credential.  Only owners decide, as in the query's SQL; the count of repositories
+changes no row, so a value in many repositories of one owner counts as live.  Base spans always stay; the wide pattern's live-looking values
 are added to them as kind ``live``.
 
 Positions come from cutting the text at the matches: lengths of gaps and matches sum up to them.
