@@ -14,12 +14,13 @@ that can be among the k nearest, and they count once against the share.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
 nor do rows without an id; rows that repeat id and vector count once; rows with the query's id are
-its own; only vectors of the commonest length are indexed; ties go to the smaller id; an empty
+its own; each length of vectors has codebooks and an index of its own; ties go to the smaller id; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 from collections.abc import Iterator
 
@@ -163,18 +164,25 @@ def search(
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"), is_query.alias("asks")).filter(
         finite_vector("vec") & F.col("id").isNotNull() & F.exists("vec", lambda x: x != 0)
     )
-    sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if sizes is None:
+    sizes = sorted(r["dim"] for r in rows.groupBy(F.size("vec").alias("dim")).agg(F.count_if("asks").alias("asking")).filter("asking > 0").collect())
+    if not sizes:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, half = sizes["dim"], max(1, sizes["dim"] // 2)
-    rows = rows.filter(F.size("vec") == dim)
+    kind = df.schema[vec_col].dataType.simpleString()
+    each = [_search_length(rows.filter(F.size("vec") == dim), dim, kind, k, centroids, share, shard_rows, query_rows) for dim in sizes]
+    found = functools.reduce(DataFrame.unionByName, each)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _search_length(rows: DataFrame, dim: int, kind: str, k: int, centroids: int, share: float | None, shard_rows: int, query_rows: int) -> DataFrame:
+    """Columns query_id, vec_id, score: candidates of each query among the rows (id, vec, asks), all of length dim."""
+    half = max(1, dim // 2)
     sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
     fitted = np.unique(np.stack(sample["vec"].to_numpy()).astype(np.float64), axis=0)
     fitted = fitted[np.random.default_rng(3).permutation(len(fitted))]
     books = kmeans(fitted[:, :half], centroids), kmeans(fitted[:, half:], centroids) if dim > half else np.zeros((1, 0))
     share = fitted_share(fitted, books, k) if share is None else share
     wide = len(books[1])
-    kind = df.schema[vec_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,6 +223,4 @@ def search(
             got = search_shard(q_ids, _matrix(left.column("vec"))[pick], left.column("bar").to_numpy()[pick], *kept, books, k)
         return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
 
-    found = asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
