@@ -1,7 +1,8 @@
-"""What the operators of this subpackage share: materialised tables and input readers."""
+"""What the operators of this subpackage share: materialised tables, checked broadcasts and input readers."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,14 +11,18 @@ from pyspark.sql import functions as F
 
 #: Narrow rows in a file of an intermediate table.
 FILE_ROWS = 50_000
+#: Narrow rows (a few longs) that may be broadcast; longer tables are joined by shuffles.
+BROADCAST_ROWS = 1 << 19
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (single-machine tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one if all runs in this process, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="hitweave-")
@@ -35,7 +40,22 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         df = df.coalesce(max(6, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.hitweave_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``materialize`` made and that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.hitweave_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of so many narrow rows, to be broadcast in a join if these are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

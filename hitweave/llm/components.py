@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import materialize
+from hitweave.llm.common import drop, materialize
 
 
 def _state(edges: DataFrame):
@@ -26,13 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: the larger neighbours of a node go to its smallest neighbour
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least", n)
-        edges = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        edges = materialize(edges, "large", n)
+        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "large", n)
+        drop(edges, least)
         # small star: the smaller neighbours of a node, and the node, go to the smallest of them
-        least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), "least", n)
-        joined = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "least", n)
+        joined = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = joined.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = materialize(edges, "small", n)
+        drop(large, least)
         now = _state(edges)
         if now == before:
             break

@@ -16,7 +16,7 @@ only if all its ids are null; repeated rows give repeated results; an empty tabl
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import fresh, materialize
+from hitweave.llm import jaccard
+from hitweave.llm.common import drop, materialize
 from hitweave.llm.components import components
+from hitweave.llm.groups import first_of_each
 
 SEED = 42
 #: A route of more fingerprints is divided further; also the largest tile's half.
@@ -158,7 +160,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS,
     level = fps.select("fp", _bands("fp", 64, n, F.lit(0)).alias("at")).select("fp", "at.route", "at.rest")
 
     def split(rows: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        hot = materialize(rows.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > route_rows), "hot", 0)
+        hot = materialize(rows.groupBy("route").agg(F.count("*").alias("n")).filter(F.col("n") > route_rows), "hot")
         if not hot.limit(1).count():
             return rows, rows, False
         return rows.join(hot.select("route"), "route", "left_anti"), rows.join(hot, "route"), True
@@ -188,29 +190,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = materialize(with_fingerprint(df, text_col, (id_col, *keep), shingle), "fingerprints")
     n = rows.count()
     own = materialize(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "own", n)
-    links = materialize(near_links(own.select("fp"), max_bits), "links", n)
+    links = materialize(near_links(own.select("fp"), max_bits), "links")
     nodes = components(links)
+    drop(links)
     named = own.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = materialize(named, "named", n)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "root", "component_id"), "labels", n)
-    return rows.join(named, "fp").select(id_col, *keep, "fp", "root", "component_id")
+    labels = materialize(named.join(least, "root").select("fp", "root", "component_id"), "labels", n)
+    drop(own, named)
+    return rows.join(labels, "fp").select(id_col, *keep, "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3) -> DataFrame:
-    """One row of each component of near-duplicates, whole: the one with the smallest id (null ids last), of repeated rows any."""
-    return first_of_each(df, id_col, text_col, lambda rows, keep: near_duplicates(rows, "id", "text", max_bits, shingle, keep))
-
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3, exact: bool = False) -> DataFrame:
+    """One row of each component of near-duplicates, whole: the one with the smallest id (null ids last), of repeated rows any.
 
-def first_of_each(df: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame, tuple[str, ...]], DataFrame]) -> DataFrame:
-    """``keep_one`` for the groups (column root) that ``find`` gives rows of id, text and the columns it has to keep."""
-    names = df.columns
-    own = [F.col(id_col).isNull(), F.col(id_col), F.col(text_col).isNull(), F.col(text_col)]
-    k1, k2 = fresh(df, "__k1", "__k2")
-    rows = df.withColumn(k1, F.xxhash64(*own)).withColumn(k2, F.xxhash64(F.lit(1), *own))
-    narrow = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(k1).alias("k1"), F.col(k2).alias("k2"))
-    found = find(narrow, ("k1", "k2"))
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")).alias("first")
-    kept = materialize(found.groupBy("root").agg(first).select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2)), "kept")
-    # a row is found again by two hashes of id and text: 128 bits
-    return rows.join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(names)
+    With ``exact`` texts are linked by the exact similarity of their shingle sets (``jaccard.T_OF / jaccard.T_IN`` or more)
+    instead of their fingerprints: at such radii neither bands nor pivots leave fingerprints out.
+    """
+    if exact:
+        return first_of_each(df, id_col, text_col, lambda rows, keep: jaccard.near_duplicates(rows, "id", "text", keep, shingle))
+    return first_of_each(df, id_col, text_col, lambda rows, keep: near_duplicates(rows, "id", "text", max_bits, shingle, keep))
