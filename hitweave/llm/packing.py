@@ -10,7 +10,8 @@ its bin by its length and its rank among the pieces of that length.
 Ranks need no global order: a partition numbers its pieces by length as it makes them, and the
 sums of the partitions before it are added.
 
-Defined results: a null text counts as empty and is one piece of one token; repeated rows are
+Defined results: a null text counts as empty and is one piece of one token; added tokens of the file (such as
+end marks) that stand in a text get their own ids, as its library gives them; repeated rows are
 packed as often as they come; an empty table gives an empty result.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import bisect
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -40,6 +42,7 @@ def json_codec(path: str) -> Codec:
     """The codec of a byte-level BPE in a tokeniser file: its merges in order are the ranks.
 
     Ids and ranks agree for such files; that is checked here, so that the fast encoder may be used.
+    The file's added tokens, which the tokeniser takes out of a text first, are apart (``added_tokens``).
     """
     from public_tokenizers import PATTERN
 
@@ -54,6 +57,28 @@ def json_codec(path: str) -> Codec:
     return Codec(ranks, PATTERN)
 
 
+@functools.lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """The added tokens of a tokeniser file: what finds them (leftmost, then longest), and their ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{path}: an added token takes more than its own text")
+    ids = {t["content"]: t["id"] for t in added}
+    longest = sorted(ids, key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, longest))) if ids else None, ids
+
+
+def encode(path: str, text: str) -> list[int]:
+    """The ids of a text as the tokeniser of the file gives them, without those it would put around it."""
+    own, (found, ids) = json_codec(path), added_tokens(path)
+    at, out = 0, []
+    for m in found.finditer(text) if found else ():
+        out += [*own.encode(text[at : m.start()]), ids[m[0]]]
+        at = m.end()
+    return out + own.encode(text[at:]) if at else own.encode(text)
+
+
 def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Columns id_col, piece, start, length, ids_crc32, __part, __rank and, on demand, packed ids.
 
@@ -64,11 +89,11 @@ def pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     names = [id_col, "piece", "start", "length", "ids_crc32", "__part", "__rank", "ids"][: 8 if with_ids else 7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seen = json_codec(path), TaskContext.get().partitionId(), [0] * (size + 1)
+        part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in _sliced(batches, 1024):
             doc, out = [], [[] for _ in names[1:]]
             for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.array([*own.encode(text), END], dtype="<u4")
+                ids = np.array([*encode(path, text), END], dtype="<u4")
                 start, piece = 0, 0
                 while start < len(ids):
                     upto = start + (size if start or len(ids) % size == 0 else len(ids) % size)

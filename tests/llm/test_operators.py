@@ -17,7 +17,7 @@ from hitweave.llm import ann, bpe, components, licenses, packing, quality, secre
 P = pytest.importorskip("public_tokenizers")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and to in is that it was for on are with as be this have from or one had by".split()
-EDGES = [None, "", " ", "\n\t ", "a", "a b", "A b C", "é ß 日本語 👩‍👩‍👧 İ", "x" * 5000, "same text here", "same text here", "<|endoftext|> hi", "'re 'S 's"]
+EDGES = [None, "", " ", "\n\t ", "a", "a b", "A b C", "é ß 日本語 👩‍👩‍👧 İ", "x" * 5000, "same text here", "same text here", "<|endoftext|> hi", "a <|endoftext|><|endoftext|> b<|endoftext|>", "'re 'S 's"]
 
 
 def text(rng, n):
@@ -156,7 +156,6 @@ def test_packing(spark, corpus, empty):
 
     df, texts = corpus
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = {}
     for i, t in enumerate(texts):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4")
