@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,3 +82,34 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def shard_by_shard(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], build: Callable, answer: Callable) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by ``keys`` and column asks: ``answer(index, queries)`` for the queries of each shard, batch by batch.
+
+    ``index`` is ``build(entries)``, made once for a shard; queries stream past it, so that only entries are held.
+    """
+    key, held, index = None, [], None
+    for batch in batches:
+        flags = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (*keys, "asks")]
+        new = np.zeros(max(0, batch.num_rows - 1), bool)
+        for f in flags:
+            new |= f[1:] != f[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            own = tuple(f[start] for f in flags[:-1])
+            if own != key:
+                key, held, index = own, [], None
+            part = batch.slice(start, end - start)
+            if not flags[-1][start]:
+                held.append(part)
+            elif held:
+                if index is None:
+                    index = build(pa.Table.from_batches(held))
+                yield answer(index, part)
+
+
+def spread(rows: DataFrame, parts: int, *keys: str) -> DataFrame:
+    """Rows of a key together and sorted by it, entries before queries (column asks), in a stated number of partitions."""
+    # a stated number is never coalesced, however few bytes the rows have
+    return rows.repartition(max(1, min(parts, 20_000)), *(F.col(k) for k in keys)).sortWithinPartitions(*keys, "asks")
