@@ -7,14 +7,15 @@ of all cells above the bar are scored exactly.
 
 Codebooks, and the share of rows a query must pass, are fitted on a bounded sample (``SAMPLE`` rows,
 those with the smallest hashes): the share is what the sample's own nearest neighbours need for a
-recall of ``RECALL``.  Every row is indexed.  Rows are dealt at random into shards of bounded size,
-each with its entries in the order of cells, and queries visit them in blocks, so that neither a
-crowded cell nor a popular one ends in a single task.  Of equal vectors a shard scores only the ids
+recall of ``RECALL``.  Every row is indexed.  Neighbouring cells are filed together in shards of
+bounded size, a crowded cell in several; a query visits only the shards that hold a cell above its
+bar, and streams past a shard's entries in blocks.  Of equal vectors a shard scores only the ids
 that can be among the k nearest, and they count once against the share.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
-nor do rows without an id; rows that repeat id and vector count once; rows with the query's id are
-its own; each length of vectors has codebooks and an index of its own; ties go to the smaller id; an empty
+nor do rows without an id; rows that repeat id and vector count once; a query id that occurs with
+several vectors of one length asks with the first of them in the order of components; rows with the
+query's id are its own; each length of vectors has codebooks and an index of its own; ties go to the smaller id; an empty
 table gives an empty result.
 """
 
@@ -29,14 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import finite_vector, materialize
+from hitweave.llm.common import finite_vector, materialize, shard_by_shard, spread
 
 SAMPLE = 16_384
 #: Of the sample, so many rows are queries when the share is fitted.
 ASKED = 256
 CENTROIDS = 64
 RECALL = 0.96
-SHARD_ROWS = QUERY_ROWS = 4096
+SHARD_ROWS = 4096
+#: Walks of the pairs of centroids in a task.
+QUERIES_A_TASK = 256
 
 
 def kmeans(points: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -112,25 +115,52 @@ def bar(first: np.ndarray, second: np.ndarray, held: np.ndarray, budget: float)
     return -np.inf
 
 
-def search_shard(q_ids, queries, bars, ids, points, cells, books, k: int):
-    """(query ids, vec ids, scores) of each query's k best among the shard's entries in cells above its bar."""
-    by = np.argsort(cells, kind="stable")
-    ids, points, cells = ids[by], points[by], cells[by]
-    own, count = np.unique(cells, return_counts=True)
-    half, wide = books[0].shape[1], len(books[1])
-    first, second = queries[:, :half] @ books[0].T, queries[:, half:] @ books[1].T
-    out = []
-    for n, q in enumerate(q_ids.tolist()):
-        there = np.flatnonzero(np.repeat(first[n, own // wide] + second[n, own % wide] >= bars[n], count) & (ids != q))
-        scores = points[there] @ queries[n]
-        if len(there) > k:
-            # what may tie with the k-th stays until exact scores and ids decide
-            kth = -np.partition(-scores, k - 1)[k - 1]
-            there = there[scores >= kth - 1e-12 * abs(kth) - 1e-12]
-        s = exact(np.broadcast_to(queries[n], (len(there), queries.shape[1])), points[there])
-        few = np.lexsort((ids[there], -s))[:k]
-        out.append((np.full(len(few), q), ids[there][few], s[few]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+class Shard:
+    """The entries of some cells, in their order."""
+
+    def __init__(self, ids: np.ndarray, points: np.ndarray, cells: np.ndarray, books, k: int):
+        ids, points, cells = distinct_entries(ids, points, cells, k)
+        by = np.argsort(cells, kind="stable")
+        self.ids, self.points, self.books, self.k = ids[by], points[by], books, k
+        self.own, self.count = np.unique(cells[by], return_counts=True)
+
+    def search(self, q_ids: np.ndarray, queries: np.ndarray, bars: np.ndarray, block: int = 64):
+        """(query ids, vec ids, scores) of each query's k best among the entries in cells above its bar."""
+        half, wide, k = self.books[0].shape[1], len(self.books[1]), self.k
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(q_ids), block):
+            q, own, bar_ = queries[at : at + block], q_ids[at : at + block], bars[at : at + block]
+            first, second = q[:, :half] @ self.books[0].T, q[:, half:] @ self.books[1].T
+            passed = first[:, self.own // wide] + second[:, self.own % wide] >= bar_[:, None]
+            scores = q @ self.points.T
+            scores[~np.repeat(passed, self.count, axis=1) | (self.ids[None, :] == own[:, None])] = -np.inf
+            if scores.shape[1] > k:
+                # what may tie with the k-th stays until exact scores and ids decide
+                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                kth = np.where(np.isfinite(kth), kth - 1e-12 * np.abs(kth) - 1e-12, -np.inf)
+            else:
+                kth = np.full(len(q), -np.inf)
+            row, col = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+            s, i = exact(q[row], self.points[col]), self.ids[col]
+            order = np.lexsort((i, -s, row))
+            row, s, i = row[order], s[order], i[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            out.append((own[row[rank < k]], i[rank < k], s[rank < k]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def filed(held: np.ndarray, shard_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first shard and its number of shards: neighbouring small cells share one, a crowded cell has several."""
+    first, many = np.zeros(held.size, np.int64), np.ones(held.size, np.int64)
+    shard, rows = 0, 0
+    for cell, n in enumerate(held.ravel().tolist()):
+        if rows and rows + n > shard_rows:
+            shard, rows = shard + 1, 0
+        first[cell], many[cell] = shard, max(1, -(-n // shard_rows))
+        rows += n
+        if many[cell] > 1:
+            shard, rows = shard + int(many[cell]), 0
+    return first, many
 
 
 def distinct_entries(ids: np.ndarray, points: np.ndarray, cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +185,6 @@ def search(
     centroids: int = CENTROIDS,
     share: float | None = None,
     shard_rows: int = SHARD_ROWS,
-    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """Columns query_id, rank, vec_id, score: the k nearest found for each query row, by inner product in doubles.
 
@@ -167,14 +196,14 @@ def search(
     sizes = sorted(r["dim"] for r in rows.groupBy(F.size("vec").alias("dim")).agg(F.count_if("asks").alias("asking")).filter("asking > 0").collect())
     if not sizes:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    kind = df.schema[vec_col].dataType.simpleString()
-    each = [_search_length(rows.filter(F.size("vec") == dim), dim, kind, k, centroids, share, shard_rows, query_rows) for dim in sizes]
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x.cast("double")))
+    each = [_search_length(rows.filter(F.size("vec") == dim), dim, k, centroids, share, shard_rows) for dim in sizes]
     found = functools.reduce(DataFrame.unionByName, each)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_length(rows: DataFrame, dim: int, kind: str, k: int, centroids: int, share: float | None, shard_rows: int, query_rows: int) -> DataFrame:
+def _search_length(rows: DataFrame, dim: int, k: int, centroids: int, share: float | None, shard_rows: int) -> DataFrame:
     """Columns query_id, vec_id, score: candidates of each query among the rows (id, vec, asks), all of length dim."""
     half = max(1, dim // 2)
     sample = rows.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).toPandas()
@@ -190,37 +219,48 @@ def _search_length(rows: DataFrame, dim: int, kind: str, k: int, centroids: int,
             cell = nearest(v[:, :half], books[0]) * wide + nearest(v[:, half:], books[1])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], names=["id", "vec", "asks", "cell"])
 
-    index = materialize(rows.mapInArrow(encode, f"id long, vec {kind}, asks boolean, cell int"), "index")
+    index = materialize(rows.mapInArrow(encode, "id long, vec array<double>, asks boolean, cell int"), "index")
     # At most centroids squared rows: a table that doesn't grow with the input.
-    counts = index.groupBy("cell", F.xxhash64("vec").alias("v")).agg(F.count("*").alias("n")).groupBy("cell").agg(F.count("*").alias("n"))
-    held = np.zeros((len(books[0]), wide), np.int64)
-    for cell, n in counts.collect():
-        held[cell // wide, cell % wide] = n
+    counts = index.groupBy("cell", F.xxhash64("vec").alias("v")).agg(F.count("*").alias("n")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("n").alias("rows"))
+    held, every = np.zeros((len(books[0]), wide), np.int64), np.zeros((len(books[0]), wide), np.int64)
+    for cell, n, all_rows in counts.collect():
+        held[cell // wide, cell % wide], every[cell // wide, cell % wide] = n, all_rows
     budget = share * held.sum()
-    n, asking = index.agg(F.count("*"), F.count_if("asks")).first()
-    shards, chunks = max(1, -(-n // shard_rows)), max(1, -(-asking // query_rows))
+    at, many = filed(every, shard_rows)
+    shards = int((at + many).max())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1))
             first, second = v[:, :half] @ books[0].T, v[:, half:] @ books[1].T
-            bars = [bar(a, b, held, budget) for a, b in zip(first, second, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars, pa.float64())], names=["id", "vec", "bar"])
-
-    # few rows, each of which takes a while: spread them over all cores
-    asked = index.filter("asks").select("id", "vec").repartition(F.col("id")).mapInArrow(walk, f"id long, vec {kind}, bar double")
+            bars = np.array([bar(a, b, held, budget) for a, b in zip(first, second, strict=True)])
+            visits = []
+            for a, b, low in zip(first, second, bars, strict=True):
+                cells = np.flatnonzero(((a[:, None] + b[None, :] >= low) & (every > 0)).ravel())
+                one = np.unique(at[cells])
+                more = [np.arange(at[c], at[c] + many[c]) for c in cells[many[cells] > 1].tolist()]
+                visits.append(np.unique(np.concatenate([one, *more])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars), pa.array(visits, pa.list_(pa.int64()))], names=["id", "vec", "bar", "visits"])
+
+    # few rows, each of which takes a while: a stated number of parts is not coalesced
+    asking = index.filter("asks").groupBy("id").agg(F.min("vec").alias("vec"))
+    n = asking.count()
+    asked = asking.repartition(max(1, min(-(-n // QUERIES_A_TASK), 20_000)), F.col("id")).mapInArrow(walk, "id long, vec array<double>, bar double, visits array<long>")
     asked = materialize(asked, "asked")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    key = ["shard", "chunk"]
-    asked = asked.select("id", "vec", "bar", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(chunks)).alias("chunk"), each(shards).alias("shard"))
-    entries = index.select("id", "vec", "cell", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), each(chunks).alias("chunk"))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if len(left) and len(right):
-            q_ids, pick = np.unique(left.column("id").to_numpy(), return_index=True)
-            kept = distinct_entries(right.column("id").to_numpy(), _matrix(right.column("vec")), right.column("cell").to_numpy(), k)
-            got = search_shard(q_ids, _matrix(left.column("vec"))[pick], left.column("bar").to_numpy()[pick], *kept, books, k)
-        return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
-
-    return asked.groupBy(*key).cogroup(entries.groupBy(*key)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    queries = asked.select(F.explode("visits").alias("shard"), F.lit(True).alias("asks"), "id", "vec", F.lit(None).cast("int").alias("cell"), "bar")
+    table = rows.sparkSession.createDataFrame([(c, int(at[c]), int(many[c])) for c in np.flatnonzero(every.ravel()).tolist()], "cell int, first long, many long")
+    entries = index.join(F.broadcast(table), "cell").select(
+        (F.col("first") + F.pmod(F.xxhash64("id", "vec"), F.col("many"))).alias("shard"), F.lit(False).alias("asks"), "id", "vec", "cell", F.lit(None).cast("double").alias("bar")
+    )
+
+    def build(t: pa.Table) -> Shard:
+        return Shard(t.column("id").to_numpy(), _matrix(t.column("vec")), t.column("cell").to_numpy(), books, k)
+
+    def answer(own: Shard, part: pa.RecordBatch) -> pa.RecordBatch:
+        found = own.search(part.column("id").to_numpy(), _matrix(part.column("vec")), part.column("bar").to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from shard_by_shard(batches, ("shard",), build, answer)
+
+    return spread(entries.unionByName(queries), shards, "shard").mapInArrow(meet, "query_id long, vec_id long, score double")

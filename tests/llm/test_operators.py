@@ -82,16 +82,32 @@ def test_topk(spark, shard_rows):
     assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
 
 
+def test_repeated_query_ids(spark):
+    """A query id with several vectors asks with the first of them, in both searches and in every shard."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).round(3).tolist(), "x") for i in range(200)] + [(0, [-9.0, 1.0, 1.0, 1.0], "x"), (0, [5.0, 1.0, 1.0, 1.0], "x")]
+    q = np.array([-9.0, 1.0, 1.0, 1.0])
+    want = sorted((-float(np.floor(256 * q) @ np.floor(256 * np.float32(v).astype(float))), i) for i, v, _ in rows if i)[:5]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") == 0, k=5, shard_rows=16).orderBy("rank").collect()
+    assert [(-r["score"], r["vec_id"]) for r in got] == [(int(s), i) for s, i in want]
+    want = sorted((-float(q @ np.float32(v).astype(float)), i) for i, v, _ in rows if i)[:5]
+    got = ann.search(vectors(spark, rows), F.col("vec_id") == 0, k=5, share=1.0, shard_rows=16).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [i for _, i in want]
+
+
 def test_topk_huge_components_and_empty(spark):
     rows = [(0, [3e30, 1.0], "x"), (1, [-3e30, 1.0], "x"), (2, [1.0, 1.0], "x")]
     got = [tuple(r) for r in topk.top_k(vectors(spark, rows), F.col("vec_id") == 0, k=2).orderBy("rank").collect()]
     assert [g[2] for g in got] == [2, 1] and got[1][3] == -(2**63)
+    wide = [(0, [1e307, 1.0], "x"), (1, [-1.7e308, 2.0], "x"), (2, [1e-300, 1.0], "x"), (3, [1.2e308, 0.0], "x"), (4, [1.1e308, 0.0], "x")]
+    df = spark.createDataFrame(wide, "vec_id long, embedding array<double>, id string")
+    assert [r["vec_id"] for r in topk.top_k(df, F.col("vec_id") == 0, k=9).orderBy("rank").collect()] == [3, 4, 2, 1]
     assert topk.top_k(vectors(spark, []), F.col("vec_id") == 0).count() == 0
 
 
 def test_ann_small_is_exact(spark):
     rows = odd_vectors()
-    got = ann.search(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=20, share=1.0, shard_rows=50, query_rows=7)
+    got = ann.search(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=20, share=1.0, shard_rows=50)
     want = brute([r for r in rows if r[0] != 2004], lambda i: i % 10 == 0, 20, lambda a, b: float((a.astype(np.longdouble) * b).sum()))
     assert {(r[0], r[1], r[2], round(r[3], 9)) for r in got.collect()} == {(a, b, c, round(float(s), 9)) for a, b, c, s in want}
     assert ann.search(vectors(spark, []), F.col("vec_id") == 0).count() == 0
