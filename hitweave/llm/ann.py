@@ -61,16 +61,22 @@ def nearest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
 
 
 def pairs_by_sum(first: np.ndarray, second: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Index pairs in the order of falling first[i] + second[j] (multi-sequence walk with a heap)."""
+    """Index pairs in the order of falling first[i] + second[j] (multi-sequence walk with a heap).
+
+    The heap holds one pair of each row begun; a row begins when the row before it has given its first pair.
+    """
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}
+    rows, cols, a, b = (-first[a]).tolist(), (-second[b]).tolist(), a.tolist(), b.tolist()
+    heap, last = [(rows[0] + cols[0], 0, 0)], len(cols) - 1
     while heap:
-        _, i, j = heapq.heappop(heap)
-        yield int(a[i]), int(b[j])
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (-(first[a[x]] + second[b[y]]), x, y))
+        _, i, j = heap[0]
+        yield a[i], b[j]
+        if j < last:
+            heapq.heapreplace(heap, (rows[i] + cols[j + 1], i, j + 1))
+        else:
+            heapq.heappop(heap)
+        if not j and i + 1 < len(rows):
+            heapq.heappush(heap, (rows[i + 1] + cols[0], i + 1, 0))
 
 
 def _matrix(column) -> np.ndarray:
@@ -105,11 +111,11 @@ def fitted_share(points: np.ndarray, books: tuple[np.ndarray, np.ndarray], k: in
     return float(np.quantile(places, recall)) if len(places) else 1.0
 
 
-def bar(first: np.ndarray, second: np.ndarray, held: np.ndarray, budget: float) -> float:
+def bar(first: np.ndarray, second: np.ndarray, held: list[list[int]], budget: float) -> float:
     """The summed inner product of the last pair of a walk that passes ``budget`` rows; -inf if there are fewer."""
     passed = 0
     for i, j in pairs_by_sum(first, second):
-        passed += held[i, j]
+        passed += held[i][j]
         if passed >= budget:
             return float(first[i] + second[j]) - 1e-9
     return -np.inf
@@ -225,7 +231,7 @@ def _search_length(rows: DataFrame, dim: int, k: int, centroids: int, share: flo
     held, every = np.zeros((len(books[0]), wide), np.int64), np.zeros((len(books[0]), wide), np.int64)
     for cell, n, all_rows in counts.collect():
         held[cell // wide, cell % wide], every[cell // wide, cell % wide] = n, all_rows
-    budget = share * held.sum()
+    budget, weights = share * held.sum(), held.tolist()
     at, many = filed(every, shard_rows)
     shards = int((at + many).max())
 
@@ -233,7 +239,7 @@ def _search_length(rows: DataFrame, dim: int, k: int, centroids: int, share: flo
         for batch in batches:
             v = _matrix(batch.column(1))
             first, second = v[:, :half] @ books[0].T, v[:, half:] @ books[1].T
-            bars = np.array([bar(a, b, held, budget) for a, b in zip(first, second, strict=True)])
+            bars = np.array([bar(a, b, weights, budget) for a, b in zip(first, second, strict=True)])
             visits = []
             for a, b, low in zip(first, second, bars, strict=True):
                 cells = np.flatnonzero(((a[:, None] + b[None, :] >= low) & (every > 0)).ravel())
