@@ -1,17 +1,21 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are compared: the target's, from texts labelled as good,
-and that of the raw corpus, counted over every text.  A text's log weight is the sum over its
-n-grams of ``log p_target - log p_raw``; the sample is drawn without replacement by Gumbel top-k
-over ``log weight + Gumbel noise``, the noise a hash of the row.  k is the number of texts which
-the fitted cut on the log weight places in the target.
+and that of the raw corpus, counted over every text.  A text's log ratio is the sum over its n-grams
+of ``log p_target - log p_raw``.  Its log weight is that ratio over the square root of the text's
+length (a sum over n n-grams has a spread that grows with the root of n, else long texts would always
+come first or last), divided by ``TEMPERATURE``.  The sample is drawn without replacement, in
+proportion to the weights, by Gumbel top-k: the k largest of ``log weight + Gumbel(0, 1)``, the noise
+a hash of the row.  k is a parameter; by default it is the expected number of good texts, counted over
+all rows with a cut that the labelled rows give.
 
 n-grams: every three neighbouring bytes of a text, and for each word whether it repeats the word
 before it, hashed into ``BUCKETS`` buckets.
 
 Defined results: a null or empty text has weight 0 and is kept; without labelled rows of both
-kinds nothing can be rejected; rows that tie with the k-th key are kept; an empty table gives an
-empty result.
+kinds nothing can be rejected; rows that tie with the k-th key are kept; of labelled ids that occur
+several times the first text in order counts; texts of any length are read whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import fresh, materialize
+from hitweave.llm.common import drop, fresh, materialize
 
 BUCKETS = 1 << 16
 #: At most about so many labelled rows fit the target model and the cut.
 LABELLED = 20_000
 SMOOTH = 4.0
-#: Scale of the Gumbel noise, in the units of the margin.
+#: Margins (log ratio over the root of the length) are divided by this: the smaller, the more a text's weight decides over the noise.
 TEMPERATURE = 0.05
-#: The cut is never above this margin: a text is rejected on evidence against it, not for want of evidence.
+#: The cut that counts the good texts is never above this margin: a text is bad on evidence against it, not for want of evidence.
 SURE = -0.5
 #: All digits count as one.
 DIGITS = bytes.maketrans(b"123456789", b"000000000")
@@ -116,10 +120,10 @@ class Model:
         ratio = self.ratio
 
         @F.pandas_udf("double")
-        def log_weight(texts: pd.Series) -> pd.Series:
+        def log_ratio_of(texts: pd.Series) -> pd.Series:
             return pd.Series([weigh(t, ratio) for t in texts])
 
-        return log_weight(text_col)
+        return log_ratio_of(text_col)
 
 
 def margin(weight: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
@@ -129,12 +133,13 @@ def margin(weight: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = LABELLED) -> Model:
     """Fits target and cut on a hashed sample of labelled rows; counts the raw model over all of ``docs``."""
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    text, own = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.col(f"`{id_col}`").alias("id")
+    known = labels.select(own, F.col(f"`{label_col}`").alias("good")).filter("good is not null and id is not null")
     share = min(1.0, max_labelled / max(1, known.count()))
-    picked = known.filter(F.pmod(F.xxhash64(id_col, F.lit(4)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = picked.groupBy(id_col).agg(F.max(label_col).alias("good"))
-    labelled = materialize(docs.select(id_col, text).join(F.broadcast(picked), id_col).select("good", "text"), "labelled")
+    picked = known.filter(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 40)) < int(share * (1 << 40)))
+    picked = picked.groupBy("id").agg(F.max("good").alias("good"))
+    labelled = docs.select(own, text).join(F.broadcast(picked), "id").groupBy("id").agg(F.first("good").alias("good"), F.min("text").alias("text"))
+    labelled = materialize(labelled.select("good", "text"), "labelled")
     raw = corpus_counts(docs.select(text))
     target = corpus_counts(labelled.filter("good = 1").select("text"))
     ratio = log_ratio(target, raw)
@@ -166,25 +171,27 @@ def kth_largest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, weights: bool = True) -> DataFrame:
-    """The kept rows of ``docs``, whole, and with ``weights`` columns log_weight and gumbel_key after them.
+def resample(
+    docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, weights: bool = True, k: int | None = None, temperature: float = TEMPERATURE
+) -> DataFrame:
+    """A sample of k rows of ``docs``, whole, and with ``weights`` columns log_weight and gumbel_key after them.
 
-    Columns of ``docs`` that have these names already are left out then.
+    Without ``k`` the sample is as large as the number of rows whose margin reaches the model's cut.
+    Columns of ``docs`` that have these names already are left out with ``weights``.
     """
     names = docs.columns
     w, g, m = fresh(docs, "__weight", "__gumbel", "__margin")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    uniform = (F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text), F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    root = F.sqrt(F.octet_length(text) + F.lit(16.0))
-    scored = docs.withColumn(w, model.column(text)).withColumn(m, F.col(w) / root)
-    # The temperature makes the noise a small part of the margin's spread, so that it acts near the cut.
-    scored = scored.withColumn(g, F.col(m) + F.lit(TEMPERATURE) * -F.log(-F.log(uniform)))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    uniform = (F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.octet_length(text), F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    scored = docs.withColumn(m, model.column(text) / F.sqrt(F.octet_length(text) + F.lit(16.0))).withColumn(w, F.col(m) / F.lit(temperature))
+    scored = scored.withColumn(g, F.col(w) - F.log(-F.log(uniform)))
     cut = -1e300 if model.cut == -math.inf else model.cut
     keys = materialize(scored.select(_ordered(F.col(g)).alias("key"), (F.col(m) >= F.lit(cut)).alias("inside")), "keys")
-    k = keys.agg(F.sum(F.col("inside").cast("long"))).first()[0] or 0
+    k = keys.agg(F.sum(F.col("inside").cast("long"))).first()[0] or 0 if k is None else min(k, keys.count())
     bar = kth_largest(keys, k)
+    drop(keys)
     kept = scored.filter(F.lit(False) if bar is None else _ordered(F.col(g)) >= F.lit(bar))
     if not weights:
-        return kept.select(names)
-    own = [c for c in names if c not in ("log_weight", "gumbel_key")]
+        return kept.select([f"`{c}`" for c in names])
+    own = [f"`{c}`" for c in names if c not in ("log_weight", "gumbel_key")]
     return kept.select(*own, F.col(w).alias("log_weight"), F.col(g).alias("gumbel_key"))
