@@ -89,7 +89,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-OP8_SQL = """
+OP8_SQL = r"""
 WITH u AS (SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM u),
@@ -97,8 +97,7 @@ r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/',
 m AS (SELECT h.page_id, r.host || r.path AS rule, r.verdict,
              row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.host || r.path) DESC, r.verdict DESC) AS n
       FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)),
-p AS (SELECT page_id, host, path, regexp_matches(lower(host || path),
-        '((^|[./-])(casino|porn|xxx)([./-]|$))|((^|\\.)adserver[0-9]*\\.)|((^|\\.)doubleclick\\.)|(/wp-login([./]|$))|(/phishing([./-]|$))') AS bad FROM h)
+p AS (SELECT page_id, host, path, regexp_matches(lower(host || path), '{bad}') AS bad FROM h)
 SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, CASE WHEN p.bad THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.n = 1
 """
@@ -122,8 +121,12 @@ wide AS (SELECT w.* FROM ({_places(3, secrets.WIDE, 0)}) w
   WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) > {secrets.MIN_DISTINCT}
     AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.start < w.start + length(w.whole) AND w.start < b.start + length(b.whole))),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM wide),
-spread AS (SELECT value, count(DISTINCT coalesce('x' || source, '')) AS owners FROM every JOIN documents USING (doc_id) GROUP BY value),
-judged AS (SELECT e.*, start + length(whole) AS stop, owners <= {secrets.MAX_OWNERS} AS live,
+who AS (SELECT doc_id, coalesce('x' || source, '') AS owner, coalesce('x' || source, '') || chr(31) || coalesce('x' || lang, '') AS repo FROM documents),
+total AS (SELECT count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM who),
+spread AS (SELECT value, count(DISTINCT owner) <= greatest(1, {secrets.OWNERS_SHARE} * (SELECT owners FROM total))
+                  AND count(DISTINCT repo) <= greatest(2, {secrets.REPOS_SHARE} * (SELECT repos FROM total)) AS live
+           FROM every JOIN who USING (doc_id) GROUP BY value),
+judged AS (SELECT e.*, start + length(whole) AS stop, live,
                   (['assign', 'access', 'hex', 'live'])[kind + 1] || ':' || start || ':' || (start + length(whole)) AS one
            FROM every e JOIN spread USING (value)),
 found AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS k, count(*) FILTER (kind = 2) AS h,
@@ -137,4 +140,5 @@ FROM t LEFT JOIN found USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op5_secrets": OP5_SQL, "op8_urls": OP8_SQL}
+    blocking = "|".join(f"(?:{r.pattern})" for r in urls.default_rules() if r.name is None)
+    return {"op1_topk": OP1_SQL, "op5_secrets": OP5_SQL, "op8_urls": OP8_SQL.replace("{bad}", blocking.replace("'", "''"))}

@@ -2,16 +2,16 @@ r"""Secret scan with corpus-wide ownership frequency, in DataFrame functions onl
 
 Every text is matched against the base kinds (assign, access, hex) and against a wide pattern for
 long mixed tokens.  The hashes of all found values are aggregated over the corpus by distinct
-owners and repositories: a value that many owners share is a copied example, one that stays with a
-few is a live-looking credential.  Only owners decide, as in the query's SQL; the count of repositories
-changes no row, so a value in many repositories of one owner counts as live.  Base spans always stay; the wide pattern's live-looking values
-are added to them as kind ``live``.
+owners and repositories.  A value that more than a share of all owners have, or that stands in more
+than a share of all repositories, is a widely copied example; one that stays with a few of both is a
+live-looking credential.  Base spans always stay; the wide pattern's live-looking values are added to
+them as kind ``live``.
 
 Positions come from cutting the text at the matches: lengths of gaps and matches sum up to them.
 
 Defined results: a null text counts as empty; a null owner or repository is one of its own; rows
 that repeat give repeated results; spans may overlap across kinds; an empty table gives an empty
-result.
+result; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.common import materialize
+from hitweave.llm.common import materialize, small
 
 # The base kinds, in the order of the contract, then the wide pattern.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -27,8 +27,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 WIDE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
-#: A value found with more owners than this is a copied example.
-MAX_OWNERS = 2
+#: A value is a copied example beyond this share of all owners, or of all repositories (but not with a single owner, or up to two repositories).
+OWNERS_SHARE, REPOS_SHARE = 0.1, 0.05
 #: A wide value needs digits, letters and so many different characters.
 MIN_DISTINCT = 10
 
@@ -105,8 +105,8 @@ def ownership(found: DataFrame) -> DataFrame:
 def _numbered(df: DataFrame, owner: Column, repo: Column, text_col: str, keep: list[str]) -> DataFrame:
     """Columns c0, c1, ... for ``keep``, then __row, __owner, __repo, __base and __wide; written once."""
     rows = df.select(
-        *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)),
-        F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
+        *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"),
         owner.alias("__owner"),
         repo.alias("__repo"),
         F.monotonically_increasing_id().alias("__row"),
@@ -115,14 +115,24 @@ def _numbered(df: DataFrame, owner: Column, repo: Column, text_col: str, keep: l
     return materialize(rows.drop("__text"), "secrets")
 
 
+def copied(each: DataFrame, rows: DataFrame) -> DataFrame:
+    """The hashes of the values that are copied widely; each: hash, owner, repo of every span, rows: __owner and __repo of every row."""
+    all_of = ownership(rows.select(F.lit(0).cast("long").alias("hash"), F.col("__owner").alias("owner"), F.col("__repo").alias("repo"))).first()
+    owners, repos = (all_of["owners"], all_of["repos"]) if all_of else (0, 0)
+    wide = (F.col("owners") > max(1.0, OWNERS_SHARE * owners)) | (F.col("repos") > max(2.0, REPOS_SHARE * repos))
+    return materialize(ownership(each).filter(wide).select("hash"), "copied")
+
+
 def _verdicts(rows: DataFrame) -> DataFrame:
     """For each row with spans: live and example counts of all spans, and the live ones of the wide pattern."""
     each = rows.filter("size(__base) + size(__wide) > 0").select(
         "__row", F.col("__owner").alias("owner"), F.col("__repo").alias("repo"), F.explode(F.concat("__base", "__wide")).alias("s")
     )
     each = each.select("__row", "owner", "repo", "s", F.col("s.hash").alias("hash"))
-    spread = materialize(ownership(each), "ownership")
-    judged = each.join(spread, "hash").withColumn("live", F.col("owners") <= MAX_OWNERS)
+    frequent = copied(each, rows)
+    # only widely copied values are joined, so that none of them gathers its rows in one task
+    frequent = small(frequent.withColumn("__copied", F.lit(True)), frequent.count())
+    judged = each.join(frequent, "hash", "left").withColumn("live", F.col("__copied").isNull())
     return judged.groupBy("__row").agg(
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),

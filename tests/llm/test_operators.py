@@ -335,6 +335,52 @@ def test_quality(spark, empty):
     assert quality.resample(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_quality_by_hand(spark):
+    """Counts, weights, keys and the sample against a plain recomputation."""
+    rng = random.Random(12)
+    texts = EDGES + [text(rng, rng.randint(5, 60)) for _ in range(80)] + [text(rng, 30).upper() + "!!" for _ in range(30)] + ["word " * 4000]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < len(EDGES) + 80)) for i in range(len(EDGES), len(texts), 2)], "doc_id long, quality int")
+    model = quality.fit(df, labels)
+
+    def grams(t):
+        raw = (t or "").encode().translate(bytes.maketrans(b"123456789", b"000000000"))
+        words = raw.split()
+        of = [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(raw) - 2)]
+        return of, [quality.BUCKETS + (a != b) for a, b in zip(words, words[1:], strict=False)]
+
+    raw, target = ([0.0] * (quality.BUCKETS + 2) for _ in range(2))
+    for i, t in enumerate(texts):
+        for g in (x for part in grams(t) for x in part):
+            raw[g] += 1
+            target[g] += len(EDGES) <= i < len(EDGES) + 80 and (i - len(EDGES)) % 2 == 0
+    ratio = {}
+    for part in (range(quality.BUCKETS), range(quality.BUCKETS, quality.BUCKETS + 2)):
+        scale = sum(target[g] for g in part) / sum(raw[g] for g in part)
+        ratio |= {g: np.log(target[g] + quality.SMOOTH) - np.log(raw[g] * scale + quality.SMOOTH) for g in part}
+    margin = [sum(ratio[g] for part in grams(t) for g in part) / np.sqrt(len((t or "").encode()) + 16) for t in texts]
+    u = df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.octet_length(F.coalesce("text", F.lit(""))), F.lit(7)), F.lit(1 << 40)).alias("u"))
+    u = {r["doc_id"]: (r["u"] + 0.5) / 2**40 for r in u.collect()}
+    key = [m / quality.TEMPERATURE - np.log(-np.log(u[i])) for i, m in enumerate(margin)]
+    every = {r["doc_id"]: r for r in quality.resample(df, model, k=len(texts)).collect()}
+    assert len(every) == len(texts)
+    for i in range(len(texts)):
+        assert every[i]["log_weight"] == pytest.approx(margin[i] / quality.TEMPERATURE, rel=1e-4, abs=1e-3)
+        assert every[i]["gumbel_key"] == pytest.approx(key[i], rel=1e-4, abs=1e-3)
+    for k in (0, 1, 40, sum(m >= model.cut for m in margin)):
+        got = {r["doc_id"] for r in quality.resample(df, model, k=k).collect()}
+        assert got == set(sorted(range(len(texts)), key=lambda i: -every[i]["gumbel_key"])[:k])
+    assert {r["doc_id"] for r in quality.resample(df, model).collect()} == got
+
+
+def test_columns_with_dots(spark, corpus):
+    df = corpus[0].withColumn("a.b", F.lit("mine"))
+    model = quality.Model(np.zeros(quality.BUCKETS + 2), -1.0)
+    assert quality.resample(df, model, weights=False).schema == df.schema
+    assert secrets.redact(df, F.col("source"), F.col("lang")).columns == df.columns
+    assert quality.resample(df, model, weights=False).count() == secrets.redact(df, F.col("source"), F.col("lang")).count() == df.count()
+
+
 def test_kth_largest(spark):
     rng = random.Random(3)
     keys = [rng.randint(-(10**15), 10**15) for _ in range(500)] + [7] * 50
@@ -394,6 +440,18 @@ def test_secrets(spark, empty):
     assert secrets.find_secrets(empty, F.col("source"), F.col("lang")).count() == 0
 
 
+def test_secrets_of_many_repositories(spark):
+    """Few owners with many repositories copy as well as many owners do; verdicts are relative to the corpus."""
+    one, copied_, repos = "Kq81abCD77efGH99ijKL", "Zx12mnOP34qrST56uvWX", "Rt55aaBB66ccDD77eeFF"
+    rows = [(0, f"a {one} b", "en", "s0", 1)] + [(1 + i, f"{copied_} x", "en", f"s{i}", 1) for i in range(6)] + [(10 + i, repos, f"l{i}", "s1", 1) for i in range(8)]
+    rows += [(100 + i, "nothing", "en", f"s{i}", 1) for i in range(40)]
+    df = spark.createDataFrame(rows, DOC)
+    got = {r["doc_id"]: r for r in secrets.find_secrets(df, F.col("source"), F.col("lang")).collect()}
+    assert [(s["start"], s["kind"], s["end"]) for s in got[0]["spans"]] == [(2, 3, 22)] and got[0]["n_live"] == 1
+    assert all(not got[1 + i]["spans"] and got[1 + i]["n_example"] == 1 for i in range(6))
+    assert all(not got[10 + i]["spans"] and got[10 + i]["n_example"] == 1 for i in range(8))
+
+
 def test_many_secrets_in_a_text(spark):
     t = "é token = 0123abcd0123abcd0123abcd; " * 700
     row = secrets.find_secrets(docs(spark, [t]), F.col("source"), F.col("lang")).first()
@@ -467,16 +525,32 @@ def test_urls(spark):
 
 
 def test_url_index_loses_no_rule():
+    """The index against all rules, for the default list and thousands of random rules of the syntax."""
     rng = random.Random(8)
-    rules = urls.default_rules()
-    index = urls.Index(rules, {"net": 5, "en": 1})
-    assert [i for i, r in enumerate(rules) if not r.tokens] == index.always and len(index.always) == 1
-    parts = ["net", "example", "en", "de", "com", "org", "fr", "casino", "porn", "xxx", "adserver", "adserver7", "7", "wp-login", "phishing", "doubleclick", "a", "."]
-    for _ in range(3000):
-        host = ".".join(rng.choices(parts, k=rng.randint(0, 4)))
-        path = "".join("/" + rng.choice(parts) for _ in range(rng.randint(0, 3))) + rng.choice(["", "/"])
-        hits = [i for i, (r, p) in enumerate(index.rules) if p.search(host + path if r.whole_case else (host + path).lower())]
-        assert set(hits) <= set(index.candidates((host + path).lower()))
+    parts = ["net", "example", "en", "de", "com", "org", "fr", "casino", "porn", "xxx", "adserver", "adserver7", "7", "wp-login", "php", "é", "a", ".", "-", "_", "%"]
+    pieces = [*parts, "*", "^", "/"]
+    random_rules = [rng.choice(["||", "|", "", ""]) + "".join(rng.choices(pieces, k=rng.randint(1, 5))) + rng.choice(["|", "^", "", ""]) for _ in range(3000)]
+    random_rules += ["@@||example.com^en", "/exa.*ple[0-9]/", "! comment", ""]
+    for rules in (urls.default_rules(), [r for line in random_rules if (r := urls.parse(line))]):
+        index = urls.Index(rules, {"net": 5, "en": 1, "com": 9})
+        assert len(index.always) < len(rules) and sum(map(len, index.under.values())) + len(index.always) == len(rules)
+        hits = 0
+        for _ in range(300):
+            host = ".".join(rng.choices(parts, k=rng.randint(0, 4)))
+            path = "".join("/" + rng.choice(parts) for _ in range(rng.randint(0, 3))) + rng.choice(["", "/"])
+            found = {i for i, (r, p) in enumerate(index.rules) if p.search(host + path if r.whole_case else (host + path).lower())}
+            assert found <= set(index.candidates((host + path).lower()))
+            hits += len(found)
+        assert hits > 100
+
+
+def test_url_rule_syntax():
+    def hits(line, text):
+        return bool(urls.compiled(urls.parse(line).pattern).search(text))
+
+    assert hits("||ads.com^", "ads.com") and hits("||ads.com^", "x.ads.com/a") and not hits("||ads.com^", "bads.com") and not hits("||ads.com^", "a.com/ads.com")
+    assert hits("|a.com/x*z|", "a.com/x12z") and not hits("|a.com/x*z|", "a.com/x12zy") and not hits("^b^", "a-b-c") and hits("^b^", "a/b")
+    assert urls.parse("||ads.com^track*x").tokens == ("ads", "com") and urls.parse("banner").tokens == () and urls.parse("/a-b.").tokens == ("a", "b")
 
 
 @pytest.mark.parametrize("case", ["mixed", "copies", "same rows"])
