@@ -1,7 +1,9 @@
-"""Public license notices that the license scan knows, and the base phrases with their labels."""
+"""The public licenses that the license scan knows, and the base phrases with their labels."""
 
 from __future__ import annotations
 
+import pkgutil
+
 # The base phrases and their labels.
 PHRASES = [
     ("mit license", "mit"),
@@ -24,7 +26,6 @@ TEMPLATES = [
         "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
         "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     ),
-    ("mit", "Released under the MIT License"),
     (
         "apache",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the "
@@ -36,7 +37,6 @@ TEMPLATES = [
         "AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
         "language governing permissions and limitations under the License",
     ),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
     (
         "gpl",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
@@ -47,7 +47,6 @@ TEMPLATES = [
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
         "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
     ),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
     (
         "lgpl",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
@@ -77,8 +76,6 @@ TEMPLATES = [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at",
     ),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     (
         "mit",
         "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
@@ -89,13 +86,42 @@ TEMPLATES = [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     ),
-    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("cc0", "Licensed under CC0 1.0"),
     ("cc0", "This work is licensed under a Creative Commons CC0 1.0 Universal Public Domain Dedication"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
-# The Creative Commons licences in short and in full, but for what stands above.
+# Whole license texts, by file in texts/.
+TEXTS = {
+    "apache-2.0": "apache",
+    "bsd-3-clause": "bsd",
+    "cc0-1.0": "cc0",
+    "gpl-2": "gpl",
+    "gpl-3": "gpl",
+    "lgpl-2.1": "lgpl",
+    "lgpl-3": "lgpl",
+    "mpl-2.0": "mpl",
+}
+# The names of licenses, as notices of one line give them after an opening.
+NAMES = [
+    ("agpl", "GNU Affero General Public License, version 3"),
+    ("apache", "Apache License, Version 2.0"),
+    ("artistic", "Artistic License 2.0"),
+    ("boost", "Boost Software License, Version 1.0"),
+    ("bsd", "BSD 2-Clause License"),
+    ("bsd", "BSD 3-Clause License"),
+    ("epl", "Eclipse Public License, Version 2.0"),
+    ("gpl", "GNU General Public License, version 2"),
+    ("gpl", "GNU General Public License, version 3"),
+    ("isc", "ISC License"),
+    ("lgpl", "GNU Lesser General Public License, version 2.1"),
+    ("lgpl", "GNU Lesser General Public License, version 3"),
+    ("mit", "MIT License"),
+    ("mpl", "Mozilla Public License, version 2.0"),
+    ("zlib", "zlib License"),
+]
+#: Openings shorter than a match that begins a chain: it holds a word of the name.
+OPENINGS = ("Distributed under the", "Licensed under the", "Released under the")
+# The Creative Commons licences.
 _CC = {
     "cc-by": "Attribution",
     "cc-by-sa": "Attribution-ShareAlike",
@@ -104,9 +130,16 @@ _CC = {
     "cc-by-nc-sa": "Attribution-NonCommercial-ShareAlike",
     "cc-by-nc-nd": "Attribution-NonCommercial-NoDerivatives",
 }
-_KNOWN = {text for _, text in TEMPLATES}
-for _label, _name in _CC.items():
-    for _version, _port in (("4.0", "International"), ("3.0", "Unported")):
-        _short = f"Licensed under CC {_label[3:].upper()} {_version}"
-        _long = f"This work is licensed under a Creative Commons {_name} {_version} {_port} License"
-        TEMPLATES += [(_label, _text) for _text in (_short, _long) if _text not in _KNOWN]
+
+
+def templates() -> list[tuple[str, str]]:
+    """Label and text of everything that is searched for: notices, one-line forms by rule, whole licenses."""
+    out = [*TEMPLATES, *((label, f"{opening} {name}") for label, name in NAMES for opening in OPENINGS)]
+    out += [("cc0", f"{o.removesuffix(' the')} CC0 1.0") for o in OPENINGS]
+    for label, name in _CC.items():
+        for version, port in (("4.0", "International"), ("3.0", "Unported")):
+            out += [(label, f"{o.removesuffix(' the')} CC {label[3:].upper()} {version}") for o in OPENINGS]
+            out.append((label, f"This work is licensed under a Creative Commons {name} {version} {port} License"))
+    for name, label in TEXTS.items():
+        out.append((label, pkgutil.get_data(__package__, f"texts/{name}.txt").decode("utf-8")))
+    return out

@@ -9,8 +9,9 @@ templates too: they are found where the current match has one as its end.
 Only stretches in which every pair of neighbouring words is a pair of some template are walked;
 elsewhere matches have at most one word.
 
-Defined results: a null or empty text has no words and no labels; repeated rows give repeated
-results; an empty table gives an empty result.
+Defined results: a null or empty text has no words and no labels; a text of any length is walked
+whole, word by word, in memory that grows with its words; repeated rows give repeated results; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.llm.license_texts import PHRASES, TEMPLATES
+from hitweave.llm.license_texts import PHRASES, TEMPLATES, templates
 
 #: Matches of fewer words don't begin a chain; from PAIR words on they join one.
 MIN_MATCH = 4
@@ -97,11 +98,12 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, phrases=PHRASES):
-        sequences = [(label, words_of(text)) for label, text in templates] + [(label, words_of(text)) for text, label in phrases]
+    def __init__(self, known=None, phrases=PHRASES):
+        known = templates() if known is None else known
+        sequences = [(label, words_of(text)) for label, text in known] + [(label, words_of(text)) for text, label in phrases]
         self.labels = [label for label, _ in sequences]
         self.sizes = [len(s) for _, s in sequences]
-        self.first_phrase = len(templates)
+        self.first_phrase = len(known)
         vocabulary = sorted({w for _, s in sequences for w in s})
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
         coded = [[self.ids[w] for w in s] for _, s in sequences]
