@@ -24,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     target = os.path.join(tempfile.mkdtemp(prefix="hitweave-"), "hitweave.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for path in sorted(root.rglob("*.py")):
+        for path in sorted(p for p in root.rglob("*") if p.suffix in (".py", ".txt")):
             z.write(path, path.relative_to(root.parent).as_posix())
     spark.sparkContext.addPyFile(target)
     _SHIPPED.add(app)
