@@ -38,7 +38,11 @@ def fast_ticks(ns: Column) -> Column:
     return F.round((slow_ticks(ns) * 25 - ns) / F.lit(TICK_NS)).cast("int")
 
 
-def energy(tot: Column, a: Column, b: Column, c: Column, t: Column, least: float = 0.1) -> Column:
+#: Energy of a hit whose pixel has no usable calibration.
+INVALID_KEV = 0.1
+
+
+def energy(tot: Column, a: Column, b: Column, c: Column, t: Column, least: float = INVALID_KEV) -> Column:
     """keV from time over threshold: the larger root of ``tot = a E + b - c / (E - t)``, at least ``least``."""
     p = -a * t + b - tot
     root = p * p - 4 * a * (tot * t - b * t - c)

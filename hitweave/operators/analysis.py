@@ -67,9 +67,12 @@ def log_values(lines: DataFrame, pattern: str, *by: Column) -> DataFrame:
 
 
 def signatures(clustered: DataFrame) -> DataFrame:
-    """A row per cluster: its hit count and a hash of its sorted hits."""
-    hits = F.sort_array(F.collect_list(F.struct("tick", "x", "y")))
-    return clustered.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sha2(F.to_json(hits), 256).alias("signature"))
+    """A row per cluster: its hit count and a hash of its hits in any order (128 bits and the sum of 40 more)."""
+    hashed = lambda seed: F.xxhash64(F.lit(seed), "tick", "x", "y")
+    total = F.sum(F.pmod(hashed(3), F.lit(1 << 40)))  # repeated hits cancel each other in the others
+    return clustered.groupBy("cluster_id").agg(F.count("*").alias("n"), F.bit_xor(hashed(1)).alias("h1"), F.bit_xor(hashed(2)).alias("h2"), total.alias("h3")).select(
+        "cluster_id", "n", F.struct("n", "h1", "h2", "h3").alias("signature")
+    )
 
 
 def iou(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Rows are cut into buckets of time.  Windows run inside a bucket; one summary row per bucket says
 what it carries over.  The summaries are scanned the same way once more, in blocks of buckets, so
-that only one row for each block meets in an ordered window of its own.  Summaries are kept (in
-memory or on disk) while a query runs, as both steps read them.
+that only one row for each block meets in an ordered window of its own.  Both steps read the
+summaries from one exchange, which Spark reuses; nothing is cached.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ def sessions(df: DataFrame, gap: int, out: str = "session", tick: str = "tick",
     order = _inside([tick, *tie])
     rows = rows.withColumn("__last", F.lag(tick).over(order))
     rows = rows.withColumn("__start", F.when(F.col(tick) - F.col("__last") >= gap, F.col(tick)))
-    ends = rows.groupBy("__bucket").agg(F.min(tick).alias("__low"), F.max(tick).alias("__high"), F.max("__start").alias("__latest")).persist()
+    ends = rows.groupBy("__bucket").agg(F.min(tick).alias("__low"), F.max(tick).alias("__high"), F.max("__start").alias("__latest"))
     ends = last_before(ends, "__bucket", "__high")
     far = F.col("__low") - F.col("__high_before")
     ends = ends.withColumn("__opens", F.when(far.isNull() | (far >= gap), F.col("__low")))
@@ -74,7 +74,7 @@ def sessions(df: DataFrame, gap: int, out: str = "session", tick: str = "tick",
 def numbered(df: DataFrame, order: list, bucket_of: Column, out: str = "row_no") -> DataFrame:
     """``df`` with column ``out``: the row's place (from 1) in the order of bucket, then ``order``."""
     rows = df.withColumn("__bucket", bucket_of)
-    sizes = sum_before(rows.groupBy("__bucket").agg(F.count("*").alias("__n")).persist(), "__bucket", "__n")
+    sizes = sum_before(rows.groupBy("__bucket").agg(F.count("*").alias("__n")), "__bucket", "__n")
     rows = rows.join(sizes.select("__bucket", "__n_before"), "__bucket")
     place = F.row_number().over(_inside(order)) + F.col("__n_before")
     return rows.withColumn(out, place.cast("long")).drop("__bucket", "__n_before")
@@ -83,7 +83,7 @@ def numbered(df: DataFrame, order: list, bucket_of: Column, out: str = "row_no")
 def prefix_sums(df: DataFrame, values: list[str], order: list, bucket_of: Column) -> DataFrame:
     """``df`` with a column ``<value>_before`` for each value: its sum over all rows that stand before."""
     rows = df.withColumn("__bucket", bucket_of)
-    sums = sum_before(rows.groupBy("__bucket").agg(*(F.sum(v).alias(f"__{v}") for v in values)).persist(), "__bucket", *(f"__{v}" for v in values))
+    sums = sum_before(rows.groupBy("__bucket").agg(*(F.sum(v).alias(f"__{v}") for v in values)), "__bucket", *(f"__{v}" for v in values))
     sums = sums.select("__bucket", *(F.col(f"__{v}_before").alias(f"__{v}") for v in values))
     rows = rows.join(sums, "__bucket")
     before = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +100,7 @@ def runs(df: DataFrame, key: str, order: list, bucket_of: Column, out: str = "ru
     rows = rows.withColumn("__new", F.last("__new", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ends = rows.groupBy("__bucket").agg(
         F.min_by(key, "__n").alias("__k0"), F.max_by(key, "__n").alias("__k1"), F.max("__n").alias("__size"), F.max("__new").alias("__tail")
-    ).persist()
+    )
     ends = sum_before(last_before(ends, "__bucket", "__k1"), "__bucket", "__size")
     joins = F.col("__k1_before").eqNullSafe(F.col("__k0")) & (F.col("__size_before") > 0)
     # A bucket of one run that goes on with the bucket before passes that one's run on: the run at

@@ -23,9 +23,13 @@ def decode(raw: DataFrame) -> DataFrame:
 
 
 def calibrate(hits: DataFrame, calib: DataFrame) -> DataFrame:
-    """Hits with energy e; the calibration has one row for each of the chip's 65 536 pixels."""
-    out = hits.join(F.broadcast(calib.select("x", "y", "a", "b", "c", "t")), ["x", "y"])
-    return out.withColumn("e", H.energy(F.col("tot"), F.col("a"), F.col("b"), F.col("c"), F.col("t"))).drop("a", "b", "c", "t")
+    """Hits with energy e; the calibration has one row for each of the chip's 65 536 pixels.
+
+    A hit on a pixel without a row keeps the energy of an invalid pixel.
+    """
+    out = hits.join(F.broadcast(calib.select("x", "y", "a", "b", "c", "t")), ["x", "y"], "left")
+    energy = H.energy(F.col("tot"), F.col("a"), F.col("b"), F.col("c"), F.col("t"))
+    return out.withColumn("e", F.when(F.col("a").isNull(), F.lit(H.INVALID_KEV)).otherwise(energy)).drop("a", "b", "c", "t")
 
 
 def uncalibrated(hits: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The triggered clusterer's gate: windows that end with the first hit later than a span, and what their rates let through.
+"""The gate of the triggered clustering: windows that end with the first hit later than a span, and what their rates let through.
 
 Such windows form a chain, each starting where the one before ended.  The chain is followed in
 parallel: a piece of time tells, for every hit at which the chain may enter, the bound with which

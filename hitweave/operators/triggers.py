@@ -152,5 +152,5 @@ def scaler(features_: DataFrame) -> DataFrame:
 
 
 def frequency_windows(hits: DataFrame, width: int = WINDOW_TICKS // 4) -> DataFrame:
-    """win and hit_count of the rate windows that the triggered clusterer watches (50 ms by default)."""
+    """win and hit_count of the rate windows that the triggered clustering watches (50 ms by default)."""
     return hits.groupBy(F.floor(F.col("tick") / width).alias("win")).agg(F.count("*").cast("double").alias("hit_count"), F.max("tick").alias("last_tick"))

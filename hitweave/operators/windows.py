@@ -110,12 +110,13 @@ def median_difference(filled: DataFrame, history: int, win: str = "win", block:
     """Scalar features minus the upper median of the ``history`` windows before; start time and histogram stay.
 
     Before the first window the history holds empty ones.  NaN sorts last.  Windows are handled in
-    blocks that overlap by the history, so no task sees the whole series.
+    blocks that overlap by the history, however many blocks that spans, so no task sees the whole series.
     """
     nan = F.lit(float("nan"))
     empty = {c: nan if c.startswith(("mean_x", "mean_y", "std")) else F.lit(0.0) for c in SCALARS}
     rows = filled.withColumn("__block", F.floor(F.col(win) / block)).withColumn("__own", F.lit(True))
-    tail = rows.filter(F.col(win) % block >= block - history).withColumn("__block", F.col("__block") + 1).withColumn("__own", F.lit(False))
+    reach = F.floor((F.col(win) + history) / block) - F.col("__block")  # how many of the blocks after its own look back at a window
+    tail = rows.filter(reach > 0).withColumn("__block", F.explode(F.sequence(F.col("__block") + 1, F.col("__block") + reach))).withColumn("__own", F.lit(False))
     w = Window.partitionBy("__block").orderBy(win).rowsBetween(-history, -1)
     both = rows.unionByName(tail)
     # Windows that lie before number 0 are missing from the frame: so many empty vectors are added.

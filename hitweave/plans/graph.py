@@ -73,7 +73,7 @@ def _one(inputs: list[DataFrame]) -> DataFrame:
 
 
 def _max_dt(c: Context) -> int:
-    return ticks(c.settings.get("clusterer", "max_dt"))
+    return ticks(c.settings.get("clustering", "max_dt"))
 
 
 def _adapt(c: Context, inputs: list[DataFrame]) -> DataFrame:
@@ -120,11 +120,11 @@ NODES: dict[str, Node] = {
     "bm": _adapt,
     "s": lambda c, i: preprocess.range_sorted(_one(i)),
     "sc": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c)),
-    "tic": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c), c.settings.get("clusterer", "tile_size")),
+    "tic": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c), c.settings.get("clustering", "tile_size")),
     "ppc": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c)),
     "tc": lambda c, i: clustering.temporal(_one(i), _max_dt(c)),
     "cs": lambda c, i: clustering.two_step(_one(i)),
-    "bbc": lambda c, i: clustering.halo_boxes(_one(i), c.settings.get("halo_bb_clusterer", "window_size")),
+    "bbc": lambda c, i: clustering.halo_boxes(_one(i), c.settings.get("halo_clustering", "window_size")),
     "ec": lambda c, i: clustering.energy_filtered(clustering.pixel_list(_one(i), _max_dt(c))),
     "trc": lambda c, i: clustering.pixel_list(rates.triggered_hits(_one(i)), _max_dt(c)),
     "tr": _gate,
@@ -159,15 +159,15 @@ def build(graph: Graph, context: Context) -> dict[str, DataFrame]:
     return {n: d for n, d in made.items() if n not in fed}
 
 
-CLUSTERERS = {"standard": "sc", "tiled": "tic", "temporal": "tc", "temporal_full": "cs", "halo_bb": "bbc"}
+CLUSTERINGS = {"standard": "sc", "tiled": "tic", "temporal": "tc", "temporal_full": "cs", "halo_bb": "bbc"}
 MERGES = ("none", "simple", "single_layer", "tree", "multioutput")
 
 
 def recipe(clustering_type: str = "standard", merge: str = "single_layer", workers: int = 4, sink: str = "", split_at: str = "reader", gated: bool = False) -> str:
     """The architecture string for options: ``workers`` lanes from the split on, joined as ``merge`` says."""
-    if clustering_type not in CLUSTERERS or merge not in MERGES:
+    if clustering_type not in CLUSTERINGS or merge not in MERGES:
         raise ValueError(f"{clustering_type}, {merge}: unknown clustering or merge type")
-    own = CLUSTERERS[clustering_type]
+    own = CLUSTERINGS[clustering_type]
     chain = ["r", "bm", *(["s"] if split_at == "sorter" else []), *(["tr"] if gated else []), own]
     first = {"reader": 1, "calibrator": 2, "sorter": chain.index("s") + 1 if "s" in chain else 2}.get(split_at, 1)
     n = 1 if merge == "none" else workers

@@ -130,7 +130,7 @@ def decode_frames(frames: DataFrame, order: str = "frame_no", block: int = 1 <<
     rows = frames.withColumn("__kind", kind).withColumn("__block", F.floor(F.col(order) / block))
     rows = rows.withColumn("__offset", F.when(F.col("__kind") == 5, _bits(frame, 0, 32)))
     seen = F.max_by("__offset", F.when(F.col("__offset").isNotNull(), F.col(order)))
-    ends = last_before(rows.groupBy("__block").agg(seen.alias("__last")).persist(), "__block", "__last")
+    ends = last_before(rows.groupBy("__block").agg(seen.alias("__last")), "__block", "__last")
     rows = rows.join(ends.select("__block", F.coalesce("__last_before", F.lit(0)).alias("__carry")), "__block")
     inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__offset", F.coalesce(F.last("__offset", ignorenulls=True).over(inside), "__carry"))
@@ -154,6 +154,10 @@ def frame_summary(frames: DataFrame) -> DataFrame:
     )
 
 
+#: More frames than a datagram of 65,535 bytes can hold, so that numbers of frames follow those of datagrams.
+MOST_FRAMES = 1 << 14
+
+
 def split_datagrams(datagrams: DataFrame) -> DataFrame:
     """frame_no and frame of datagrams (datagram_no, payload): six little-endian bytes each."""
     size = 6
@@ -163,7 +167,7 @@ def split_datagrams(datagrams: DataFrame) -> DataFrame:
     cut = F.expr(f"substring(payload, i * {size} + 1, {size})")
     hexes = F.hex(cut)
     turned = F.concat(*(F.substring(hexes, 2 * (size - 1 - b) + 1, 2) for b in range(size)))
-    return rows.select((F.col("datagram_no") * 1024 + F.col("i")).alias("frame_no"), F.conv(turned, 16, 10).cast("long").alias("frame"))
+    return rows.select((F.col("datagram_no") * MOST_FRAMES + F.col("i")).alias("frame_no"), F.conv(turned, 16, 10).cast("long").alias("frame"))
 
 
 def chip_id(word: Column) -> Column:

@@ -77,7 +77,7 @@ def test_gate(spark, seed):
 
 
 def rate_model(ticks, span, hold):
-    """The triggered clusterer by the book, for distinct ticks."""
+    """The triggered clustering by the book, for distinct ticks."""
     first, n, fired, old, processing = 0, 0, 0, None, False
     buffer, out = [], []
     for t in ticks:
@@ -272,8 +272,8 @@ def test_udp_stream(spark, tmp_path):
 
 
 def test_settings():
-    s = Settings.parse(["", "clusterer", "-tile_size:4", "-max_dt:100", "reader", "-split:false"])
-    assert s.get("clusterer", "tile_size") == 4 and s.get("clusterer", "max_dt") == 100.0 and s.get("reader", "split") is False
+    s = Settings.parse(["", "clustering", "-tile_size:4", "-max_dt:100", "reader", "-split:false"])
+    assert s.get("clustering", "tile_size") == 4 and s.get("clustering", "max_dt") == 100.0 and s.get("reader", "split") is False
     with pytest.raises(ValueError):
         Settings.parse(["-tile_size:4"])
 
@@ -300,6 +300,9 @@ def test_command_line(spark, tmp_path):
     assert sources.clusters(spark, ini).count() == 3
     assert float(cli.main(["--mode", "compare", ini, ini], spark)) == 1
     assert "Mhit/s" in cli.main(["--mode", "benchmark", str(tmp_path / "in.txt")], spark)
+    lanes = cli.main(["--merge_type", "multioutput", "--n_workers", "3", "--output", f"{tmp_path}/lanes/", str(tmp_path / "in.txt")], spark).split(",")
+    n = sources.clusters(spark, ini).select("cluster_no").distinct().count()
+    assert len(lanes) == 3 and sum(sources.clusters(spark, p).select("cluster_no").distinct().count() for p in lanes) == n
     lines = cli.main(["--mode", "window_features", "--output", f"{tmp_path}/", str(tmp_path / "in.txt")], spark)
     assert spark.read.text(lines).count() == 0  # the only window is still open
 
@@ -372,3 +375,34 @@ def test_udp_reader():
 def test_names():
     assert sinks.output_name("a/b.txt", "out/", number=2).startswith("out/clustered_b2_")
     assert sinks.output_name("a/b.txt", "out/x_", "window_features").startswith("out/x_window_features_b_")
+
+
+def test_frame_numbers_of_large_datagrams(spark):
+    """Frames of a datagram of any size stand before those of the next one."""
+    payload = b"".join((4 << 44 | i).to_bytes(6, "little") for i in range(10_922))
+    frames = sources.split_datagrams(spark.createDataFrame([(0, payload), (1, payload[:12])], "datagram_no long, payload binary"))
+    numbers = sorted(r["frame_no"] for r in frames.collect())
+    assert len(set(numbers)) == 10_924 and numbers[10_921] < 1 << 14 <= numbers[10_922]
+
+
+def test_uncalibrated_pixels_stay(spark):
+    hits = preprocess.decode(spark.createDataFrame([(513, 5, 3, 20), (7, 900, 0, 1)], "linear_coord int, toa long, fast_toa int, tot int"))
+    calib = spark.createDataFrame([(1, 2, 1.6, 20.0, 100.0, 1.0)], "x int, y int, a double, b double, c double, t double")
+    out = {(r["x"], r["y"]): r["e"] for r in preprocess.calibrate(hits, calib).collect()}
+    assert len(out) == 2 and out[7, 0] == 0.1 and out[1, 2] >= 0.1
+
+
+def test_median_of_a_long_history(spark):
+    """A history over several blocks gives what a single block gives."""
+    from hitweave.operators import windows
+
+    rows = spark.range(60).select(F.col("id").alias("win"), *(((F.col("id") * 7919 + i) % 101).cast("double").alias(c) for i, c in enumerate(windows.SCALARS)))
+    got, want = (windows.median_difference(rows, 21, block=b).orderBy("win").collect() for b in (4, 4096))
+    assert list(map(repr, got)) == list(map(repr, want))  # NaN equals itself here
+
+
+def test_nothing_stays_cached(spark):
+    hits = spark.createDataFrame([(t * 40, t % 5, 1, 1.0) for t in range(100)], "tick long, x int, y int, e double")
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    clustering.pixel_list(hits).collect()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
