@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hitweave.model import CHIP, JOIN_TICKS, SLICE_NS, SLICE_TICKS, TICK_NS
 from hitweave.operators import kernels
 from hitweave.operators.clustering import in_sessions
+from hitweave.operators.ordered import cut
 
 
 def rounded_ns(tick: Column) -> Column:
@@ -87,15 +88,12 @@ def merge_borders(clustered: DataFrame, max_dt: int = JOIN_TICKS) -> DataFrame:
 def merge_roots(links: DataFrame) -> DataFrame:
     """node and root, the smallest id of its component; labels spread until nothing changes."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    if not links.sparkSession.sparkContext.getCheckpointDir():
-        import tempfile
-
-        links.sparkSession.sparkContext.setCheckpointDir(links.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = both.checkpoint()
+    both = cut(both)
     label = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
     while True:
         seen = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        after = label.join(seen, "node").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved")).checkpoint()
+        after = label.join(seen, "node").select("node", F.least("root", "near").alias("root"), (F.col("near") < F.col("root")).alias("moved"))
+        after = cut(after)
         label = after.select("node", "root")
         if not after.filter("moved").limit(1).count():
             return label

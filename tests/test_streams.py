@@ -7,6 +7,8 @@ import socket
 import struct
 import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +120,50 @@ def test_triggered_hits(spark, seed):
     assert sorted(r["tick"] for r in rates.triggered_hits(df, 100, 200).collect()) == rate_model(ticks, 100, 200)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_rate_windows_in_small_blocks(spark, seed):
+    rng = random.Random(seed)
+    df = spark.createDataFrame([(t, 1, 1, 1.0) for t in sorted({rng.randint(0, 5000) for _ in range(300)})], HIT)
+    windowed = rates.rate_windows(df, 100)
+    small = rates.rate_windows(df, 100, per_piece=rng.choice([1, 3]), per_block=rng.choice([1, 2, 5]))
+    assert {r["tick"]: r["end"] for r in small.collect()} == {r["tick"]: r["end"] for r in windowed.collect()}
+    keys = ["end", "before", "flush", "after"]
+    assert sorted(rates.rate_states(small, 100, 200, per_block=1).select(keys).collect()) == sorted(rates.rate_states(windowed, 100, 200).select(keys).collect())
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_rate_states_from_every_state(seed):
+    """The state a block is left in is always among the ones the next block is tried with."""
+    rng = random.Random(seed)
+    hold = rng.choice([0, 150, 200, 450, 1000])
+    reach, end, rows = hold // 100 + 3, 0, []
+    for _ in range(40):
+        end += rng.choice([101, 110, 300, 2000])
+        rows.append((end, rng.choice([1.0, 5.0, 30.0]), 100.0))
+    table = pd.DataFrame(rows, columns=["end", "n", "width"])
+    for cut in range(reach, 40):
+        _, state = rates.follow_rates(table[:cut], hold)
+        assert state in rates.possible(table[cut - reach : cut], hold)
+
+
+@pytest.mark.parametrize("seed", range(50))
+def test_passages_compose(seed):
+    rng = random.Random(seed)
+    per, ticks = rng.choice([1, 2, 4]), sorted({rng.randint(0, 6000) for _ in range(rng.choice([5, 40, 400]))})
+    own = {}
+    for t in ticks:
+        own.setdefault(t // (100 * per), []).append(t)
+    parts = [(p, *rates.passage(np.array(t), 100, p * 100 * per)) for p, t in own.items()]
+    table = pd.concat([pd.DataFrame({"piece": p, "entry": e, "bound": b}) for p, e, b in parts])
+    start = parts[0][0] * 100 * per
+    entry, bound = rates.compose(table)
+    for x in range(start, start + 100):
+        want = x
+        for _, e, b in parts:
+            want = int(rates.through(e, b, np.array([want]))[0])
+        assert int(rates.through(entry, bound, np.array([x]))[0]) == want
+
+
 def test_intervals(spark):
     rows = triggers.parse_intervals("hit_count[1] mean_x[px]\n[1:5] [*:10]\n")
     df = spark.createDataFrame([(1.0, 10.0), (5.0, 10.5), (6.0, 1.0), (3.0, float("nan"))], "hit_count double, mean_x double")
