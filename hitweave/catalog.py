@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hitweave import fixtures, sinks, sources
+from hitweave import fixtures, sinks, sources, streaming
+from hitweave import functions as H
 from hitweave.functions.onnx import linear_model
-from hitweave.model import JOIN_TICKS, SLICE_NS, SLICE_TICKS, WINDOW_TICKS
+from hitweave.model import JOIN_TICKS, REORDER_TICKS, SLICE_NS, SLICE_TICKS, WINDOW_TICKS, Settings
 from hitweave.operators import analysis, clustering, preprocess, rates, slices, triggers, windows
+from hitweave.operators.ordered import numbered, shared_file
+from hitweave.plans.graph import Context, Graph, build, recipe
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -276,7 +279,7 @@ def combined_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- windows -----------------------------------------------------------------------------------
 
-_EDGES = ", ".join(f"{float(x)}" for x in (5, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100, 150, 200, 400, 600, 1000))
+_EDGES = ", ".join(f"{float(x)}" for x in H.ENERGY_EDGES)
 _SD = "case when n < 2 then cast('nan' as double) else sqrt(greatest(cast({c}{c} as double) / n - ({c} / n) * ({c} / n), 0)) end"
 WINDOWS = f"""w0 as (select *, case when tick % {W2} = 0 and tick > 0 and (tick = {W2} or exists (
     select 1 from e2 q where q.tick // {W2} = e2.tick // {W2} - 1 and q.tick % {W2} > 0)) then tick // {W2} - 1 else tick // {W2} end as win from e2),
@@ -338,9 +341,18 @@ def window_median_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("win", "start_toa_ns", *_rounded(out))
 
 
-@query()
+#: All 27 features of every closed window in long form: win, place in the vector, feature, v.
+VECTORS = f"""{WINDOWS}, v0 as (select win, [start_toa_ns, {", ".join(windows.SCALARS)}] as v from w4),
+v1 as (select win, cast(unnest(range(10)) as int) as place, unnest(['start_toa_ns', {", ".join(f"'{c}'" for c in windows.SCALARS)}]) as feature, unnest(v) as v from v0
+  union all select spine.win, cast(10 + b.bin as int), 'h' || b.bin, coalesce(count(*) filter (w1.bin = b.bin) / nullif(count(w1.win), 0), 0)
+  from spine cross join (select unnest(range(17)) as bin) b left join w1 on w1.win = spine.win group by spine.win, b.bin),
+vl as (select win, place, feature, case when isnan(v) then 0 else v end as v from v1)"""
+
+
+@query("select win, place, round(v, 6) as v from vl", VECTORS)
 def window_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.to_vector(windows.features(stream(spark, sf_dir)), replace_nan=True)
+    out = windows.to_vector(windows.features(stream(spark, sf_dir)), replace_nan=True)
+    return out.select("win", F.posexplode("vector").alias("place", "v")).select("win", "place", r6("v").alias("v"))
 
 
 @query(
@@ -403,20 +415,32 @@ def frequency_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("win", "hit_count", triggers.fires_frequency(1.5).alias("fires"))
 
 
-@query()
+#: The chain of rate windows, hit after hit, with the state that each leaves: 50 ms spans, held for two.
+RATES = f"""d0 as (select tick, sum(count(*)) over (order by tick) as cum from e2 where tick > 0 group by tick union all select 0, 0),
+d1 as materialized (select a.tick, b.tick as nxt, cast(b.cum - a.cum + case when a.tick > 0 then 1 else 0 end as double) / (b.tick - a.tick) as rate
+       from d0 a asof join d0 b on a.tick + {rates.SPAN} < b.tick),
+ch as (select cast(0 as bigint) as tick, false as before, false as flush, false as held, cast(-1 as double) as old, cast(0 as bigint) as fired
+  union all select nxt, held, flush, (held or flush) and nxt - since <= {2 * rates.SPAN}, case when held then old else rate end, since from (
+    select *, case when flush and old >= 0 then nxt else fired end as since from (
+      select d1.nxt, d1.rate, ch.held, ch.old, ch.fired,
+        not ch.held and (ch.old < 0 or (ch.old > 0 and d1.rate / ch.old > 2) or (d1.rate > 0 and ch.old / d1.rate > 2)) as flush from ch join d1 on d1.tick = ch.tick))),
+kept as (select e2.* from e2 asof left join (select * from ch where tick > 0) c on e2.tick <= c.tick
+  where c.before or (c.flush and e2.tick >= c.tick - {rates.SPAN}) or (c.tick is null and (select arg_max(held, tick) from ch)))"""
+
+
+@query("select tick, lin, tot from kept", RATES)
+def triggered_rate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.triggered_hits(stream(spark, sf_dir)).select("tick", "lin", "tot")
+
+
+@query(STATS.format(t="pl"), f"{RATES}, {_spatial(1).replace('from e1', 'from kept')}")
 def triggered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats(clustering.pixel_list(rates.triggered_hits(stream(spark, sf_dir))))
 
 
-@query(
-    """select feature, round(avg(v), 4) as mean, round(case when stddev_pop(v) < 1e-7 then 1 else stddev_pop(v) end, 4) as std
-    from (unpivot (select * exclude (win, start_toa_ns) replace (case when isnan(mean_x) then 0 else mean_x end as mean_x, case when isnan(mean_y) then 0 else mean_y end as mean_y,
-    case when isnan(std_x) then 0 else std_x end as std_x, case when isnan(std_y) then 0 else std_y end as std_y) from w4) on * into name feature value v) group by feature""",
-    WINDOWS,
-)
+@query("select feature, round(avg(v), 4) as mean, round(case when stddev_pop(v) < 1e-7 then 1 else stddev_pop(v) end, 4) as std from vl where place > 0 group by feature", VECTORS)
 def std_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = triggers.scaler(windows.features(stream(spark, sf_dir)))
-    return out.filter(~F.col("feature").rlike("^h[0-9]+$")).select("feature", r4("mean").alias("mean"), r4("std").alias("std"))
+    return triggers.scaler(windows.features(stream(spark, sf_dir))).select("feature", r4("mean").alias("mean"), r4("std").alias("std"))
 
 
 # --- analysis, validation, files ---------------------------------------------------------------
@@ -519,4 +543,86 @@ def text_hit_parser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("linear_coord", "toa", F.col("fast_toa").cast("int").alias("fast_toa"), F.col("tot").cast("int").alias("tot"))
 
 
+@query("select lin as linear_coord, toa, fast_toa, tot from f2")
+def text_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits written to a text file and read from it."""
+    path = shared_file(spark, "hits")
+    sinks.write_raw(fixtures.stream_hits(spark, sf_dir).withColumn("linear_coord", F.col("lin")), path)
+    return sources.text_hits(spark, path).select("linear_coord", "toa", F.col("fast_toa").cast("int").alias("fast_toa"), F.col("tot").cast("int").alias("tot"))
+
+
+@query(
+    """select cast(cluster_no as bigint) as cluster_no, first_toa, hit_count, x, y, tick * cast(1.5625 as double) as toa, round(e, 1) as e from tc join (
+    select cluster_id, n as hit_count, first * cast(1.5625 as double) as first_toa, coalesce(sum(n + 1) over (order by first, cluster_id rows between unbounded preceding and 1 preceding), 0) as cluster_no
+    from (select cluster_id, count(*) as n, min(tick) as first from tc group by cluster_id)) h using (cluster_id)""",
+    TEMPORAL.replace("from e1", "from (select * replace (cast(tot as double) as e) from e1)"),
+)
+def cluster_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clustered dataset written and read; energies are times over threshold, as the file has two decimals."""
+    hits = preprocess.uncalibrated(fixtures.track_hits(spark, sf_dir))
+    ini = sinks.write_clusters(clustering.nested(clustering.temporal(hits)), shared_file(spark, "clusters"), "tracks")
+    out = sources.clusters(spark, ini)
+    return out.select("cluster_no", "first_toa", "hit_count", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "toa", F.round("e", 1).alias("e"))
+
+
+# --- plans and streams -------------------------------------------------------------------------
+
+
+def _planned(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    raw = fixtures.track_hits(spark, sf_dir).select(F.col("lin").alias("linear_coord"), "toa", "fast_toa", "tot")
+    return next(iter(build(Graph.parse(text), Context(spark, Settings(), {"r1": raw}, fixtures.calibration(spark))).values()))
+
+
+@query(STATS.format(t="pl"), _spatial(1))
+def plan_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four lanes joined pair by pair, from the options' recipe."""
+    out = _planned(spark, sf_dir, recipe("standard", "tree", 4, "cp"))
+    return out.withColumns({c: r4(c) for c in ("total_energy", "center_x", "center_y")})
+
+
+@query(STATS.format(t="tc"), TEMPORAL)
+def plan_parallel_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Temporal clusters in lanes split after sorting."""
+    out = _planned(spark, sf_dir, recipe("temporal", "single_layer", 3, "cp", "sorter"))
+    return out.withColumns({c: r4(c) for c in ("total_energy", "center_x", "center_y")})
+
+
+@query(
+    """select matched, cast(matched as double) / (na + nb - matched) as iou from (
+    select count(*) as matched from sa join sb on sa.sig = sb.sig), (select count(*) as na from sa), (select count(*) as nb from sb)""",
+    f"""{_spatial(1)}, sa as (select cluster_id, list_sort(list((tick, x, y, tot))) as sig from tc group by cluster_id),
+    sb as (select cluster_id, list_sort(list((tick, x, y, tot))) as sig from pl group by cluster_id)""",
+)
+def tolerant_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One side is shifted by less than the tolerance."""
+    hits = tracks(spark, sf_dir)
+    near = F.transform("hits", lambda h: F.struct("cluster_id", h["x"].alias("x"), h["y"].alias("y"), (h["toa"] + 0.001).alias("toa"), (h["e"] + 0.001).alias("e")))
+    shifted = clustering.nested(clustering.pixel_list(hits)).withColumn("hits", near)
+    return analysis.approx_iou(clustering.nested(clustering.temporal(hits)), shifted)
+
+
+@query(f"select tick // {W2} as win, count(*) as hit_count, round(sum(e), 4) as energy, round(max(e), 4) as max_energy from e2 group by all")
+def event_time_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming plan of tumbling windows, on a table."""
+    out = streaming.window_counts(streaming.with_event_time(stream(spark, sf_dir)))
+    return out.select("win", "hit_count", r4("energy").alias("energy"), r4("max_energy").alias("max_energy"))
+
+
+@query("select min(tick) as first_tick, max(tick) as last_tick, count(*) as hit_count, round(sum(e), 4) as energy from tc group by cluster_id", TEMPORAL)
+def event_time_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming plan of temporal clusters, on a table of one lane."""
+    out = streaming.temporal_clusters(streaming.with_event_time(tracks(spark, sf_dir).withColumn("lane", F.lit(0))))
+    return out.select("first_tick", "last_tick", "hit_count", r4("energy").alias("energy"))
+
+
+@query(
+    f"""select grp, part, supp, tick from (select *, max(tick) over (order by arrival rows between unbounded preceding and 1 preceding) as seen
+    from (select *, row_number() over (order by (grp * 7919) % 10007, {", ".join(ORDER)}) as arrival from f1)) where seen - tick > {REORDER_TICKS}"""
+)
+def late_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits in a mixed order of arrival; those later than the watermark allows."""
+    hits = numbered(fixtures.track_hits(spark, sf_dir), ["tick", "lin", "part", "supp", "tot"], F.col("grp") * 7919 % 10007, "arrival")
+    return streaming.late_rows(hits, "arrival").select("grp", "part", "supp", "tick")
+
+
 assert JOIN_TICKS == 128, "the SQL above spells the join distance out"

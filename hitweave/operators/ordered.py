@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitweave.model import SLICE_TICKS
@@ -26,21 +26,25 @@ BLOCK = 4096
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder of ``spark.checkpoint.dir``, for summaries that are read several times.
+def shared_file(spark: SparkSession, kind: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``.
 
     Only where all runs in this process may that setting be missing; a temporary folder serves then.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         folder = _OWN[app] = _OWN.get(app) or tempfile.mkdtemp(prefix="hitweave-")
-    path = f"{folder}/summary-{uuid.uuid4().hex}"
+    return f"{folder}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, for summaries that are read several times."""
+    path = shared_file(df.sparkSession, "summary")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _inside(order: list) -> Window:
