@@ -568,9 +568,9 @@ def cluster_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- plans and streams -------------------------------------------------------------------------
 
 
-def _planned(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def _planned(spark: SparkSession, sf_dir: str, text: str, settings: Settings | None = None) -> DataFrame:
     raw = fixtures.track_hits(spark, sf_dir).select(F.col("lin").alias("linear_coord"), "toa", "fast_toa", "tot")
-    return next(iter(build(Graph.parse(text), Context(spark, Settings(), {"r1": raw}, fixtures.calibration(spark))).values()))
+    return next(iter(build(Graph.parse(text), Context(spark, settings or Settings(), {"r1": raw}, fixtures.calibration(spark))).values()))
 
 
 @query(STATS.format(t="pl"), _spatial(1))
@@ -580,6 +580,14 @@ def plan_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: r4(c) for c in ("total_energy", "center_x", "center_y")})
 
 
+@query(STATS.format(t="pl"), _spatial(1))
+def plan_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan for dense data: slices of time, joined at their borders."""
+    settings = Settings.parse(["clustering", "-sliced:true"])
+    out = _planned(spark, sf_dir, recipe("standard", "single_layer", 4, "cp"), settings)
+    return out.withColumns({c: r4(c) for c in ("total_energy", "center_x", "center_y")})
+
+
 @query(STATS.format(t="tc"), TEMPORAL)
 def plan_parallel_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Temporal clusters in lanes split after sorting."""

@@ -36,7 +36,7 @@ class Settings:
             "reader": {"split": True, "repetition_count": 300, "repetition_size": 1_000_000, "freq_multiplier": 1.0, "sleep_duration_full_memory": 100},
             "calibrator": {"split": False},
             "sorter": {"split": False},
-            "clustering": {"tile_size": 1, "max_dt": 200.0, "type": "standard"},
+            "clustering": {"tile_size": 1, "max_dt": 200.0, "type": "standard", "sliced": False},
             "trigger": {"window_size": 2e8, "diff_window_size": 1e9, "trigger_time": 5e8, "trigger_file": "", "split": True, "use_trigger": False},
             "halo_clustering": {"window_size": 1000.0},
             "window_computer": {"window_size": 2e8, "diff_window_size": 0.0},

@@ -23,6 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--n_workers", type=int, default=4)
     p.add_argument("--clustering_type", choices=tuple(CLUSTERINGS), help="by default the settings' type")
     p.add_argument("--merge_type", choices=MERGES, default="single_layer")
+    p.add_argument("--sliced", action="store_true", help="pixel-list clusters by slices of time, for data so dense that hits never pause")
     p.add_argument("--debug", action="store_true")
     p.add_argument("input", nargs="+")
     return p
@@ -36,6 +37,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     settings = Settings()
     if o.args:
         settings = Settings.parse([r[0] for r in spark.read.text(o.args).collect()])
+    if o.sliced:
+        settings.set("clustering", "sliced", "true")
     if o.mode == "compare":
         a, b = (sources.clusters(spark, p) for p in o.input[:2])
         named = lambda d: clustering.nested(d.selectExpr("cluster_no as cluster_id", "x", "y", "e", "cast(round(toa / 1.5625) as bigint) as tick"))

@@ -76,6 +76,13 @@ def _max_dt(c: Context) -> int:
     return ticks(c.settings.get("clustering", "max_dt"))
 
 
+def _pixel_list(c: Context, inputs: list[DataFrame]) -> DataFrame:
+    """By sessions, exactly; by slices of time joined at their borders where the settings say that sessions never end."""
+    if c.settings.get("clustering", "sliced"):
+        return cluster_slices(_one(inputs), _max_dt(c))
+    return clustering.pixel_list(_one(inputs), _max_dt(c))
+
+
 def _adapt(c: Context, inputs: list[DataFrame]) -> DataFrame:
     hits = preprocess.decode(preprocess.valid(_one(inputs)))
     return preprocess.uncalibrated(hits) if c.calibration is None else preprocess.calibrate(hits, c.calibration)
@@ -119,16 +126,16 @@ def _windows(c: Context, inputs: list[DataFrame]) -> DataFrame:
 NODES: dict[str, Node] = {
     "bm": _adapt,
     "s": lambda c, i: preprocess.range_sorted(_one(i)),
-    "sc": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c)),
+    "sc": _pixel_list,
     "tic": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c), c.settings.get("clustering", "tile_size")),
-    "ppc": lambda c, i: clustering.pixel_list(_one(i), _max_dt(c)),
+    "ppc": _pixel_list,
     "tc": lambda c, i: clustering.temporal(_one(i), _max_dt(c)),
     "cs": lambda c, i: clustering.two_step(_one(i)),
     "bbc": lambda c, i: clustering.halo_boxes(_one(i), c.settings.get("halo_clustering", "window_size")),
     "ec": lambda c, i: clustering.energy_filtered(clustering.pixel_list(_one(i), _max_dt(c))),
     "trc": lambda c, i: clustering.pixel_list(rates.triggered_hits(_one(i)), _max_dt(c)),
     "tr": _gate,
-    "m": lambda c, i: _one(i),  # sessions are exact: nothing is left to merge
+    "m": lambda c, i: _one(i),  # sessions are exact, and slices come joined: nothing is left to merge
     "co": lambda c, i: _one(i),
     "cow": lambda c, i: _one(i),
     "rr": _repeat,
@@ -189,8 +196,8 @@ def recipe(clustering_type: str = "standard", merge: str = "single_layer", worke
 
 
 def cluster_slices(hits: DataFrame, max_dt: int) -> DataFrame:
-    """The plan for sessions without end: slices, then borders."""
-    return slices.merge_borders(slices.sliced_clusters(hits, max_dt), max_dt)
+    """The plan for sessions without end: slices, then borders; no task holds more than a slice."""
+    return slices.merge_borders(slices.sliced_clusters(hits, max_dt), max_dt).drop("slice")
 
 
 def text_source(spark: SparkSession, path: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hitweave import sinks, sources, streaming
 from hitweave.model import Settings
-from hitweave.operators import analysis, clustering, preprocess, rates, slices, triggers, windows
+from hitweave.operators import analysis, clustering, kernels, preprocess, rates, slices, triggers, windows
 from hitweave.plans import cli
 from hitweave.plans.graph import Context, Graph, build, cluster_slices, recipe
 
@@ -353,6 +353,29 @@ def test_command_line(spark, tmp_path):
     assert spark.read.text(lines).count() == 0  # the only window is still open
 
 
+def test_sliced_plan(spark, tmp_path):
+    """Hits that never pause for 200 ns, in separate spots: slices joined at their borders give the serial kernel's clusters."""
+    rng = random.Random(5)
+    hits = set()
+    for n in range(6000):
+        t, x, y = n * 60 + rng.randint(0, 20), (n * 37) % 240 + 4, (n * 101) % 240 + 4
+        hits |= {(t + rng.randint(0, 30), x + i, y) for i in range(2)}
+    hits = sorted(hits)
+    assert max(b[0] - a[0] for a, b in zip(hits, hits[1:], strict=False)) < 128
+    df = spark.createDataFrame([(*h, 1.0) for h in hits], HIT)
+    t, x, y = (np.array(c) for c in zip(*hits, strict=True))
+    label = np.array(kernels.pixel_list(t, x, y))
+    first = {}
+    for h, c in zip(hits, label.tolist(), strict=True):
+        first[c] = min(first.get(c, 1 << 62), h[0] * 65536 + h[2] * 256 + h[1])
+    got = {(r["tick"], r["x"], r["y"]): r["cluster_id"] for r in cluster_slices(df, 128).collect()}
+    assert got == {h: first[c] for h, c in zip(hits, label.tolist(), strict=True)}
+    assert len({t // 163_840 for t, _, _ in hits}) > 2
+    (tmp_path / "in.txt").write_text("513 5 3 20\n514 6 3 20\n7 900 0 1\n")
+    ini = cli.main(["--sliced", "--output", f"{tmp_path}/", str(tmp_path / "in.txt")], spark)
+    assert sources.clusters(spark, ini).count() == 3
+
+
 def run_stream(spark, hits, tmp_path, plan, name):
     """Feeds hits file by file, in order, and returns what the stream emits."""
     folder = tmp_path / "in"
