@@ -64,19 +64,20 @@ def in_order(tables: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield int(piece), own["entry"].to_numpy("int64"), own["bound"].to_numpy("int64")
 
 
-def compose(tables: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """One table for several pieces in a row.
+def compose(tables: pd.DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """One table for several pieces in a row, for chains that come in with at most ``limit``.
 
-    A chain enters at the first piece, or passes that one's few hits and enters at the first hit of the second.
+    A chain enters at the first piece, or passes hits that end before the limit and enters at a later one.
     """
     entry = bound = None
-    for n, (_, own, left) in enumerate(in_order(tables)):
+    for _, own, left in in_order(tables):
         if entry is None:
             entry, bound = own, left
             continue
         bound = through(own, left, bound)
-        if n == 1 and own[0] > entry[-1]:
-            entry, bound = np.append(entry, own[0]), np.append(bound, left[0])
+        if entry[-1] <= limit:
+            later = own > entry[-1]
+            entry, bound = np.append(entry, own[later]), np.append(bound, left[later])
     last = np.append(bound[1:] != bound[:-1], True)
     return entry[last], bound[last]
 
@@ -90,13 +91,14 @@ def link(tables: pd.DataFrame, x: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["piece", "x"]).astype("int64")
 
 
-def incoming(found: DataFrame, span: int, per_block: int) -> DataFrame:
+def incoming(found: DataFrame, span: int, per_piece: int, per_block: int) -> DataFrame:
     """piece and x, its incoming bound; blocks of pieces are linked first, by one table for each."""
     block = F.floor(F.col("piece") / per_block).alias("block")
 
     def one(t: pd.DataFrame) -> pd.DataFrame:
-        entry, bound = compose(t)
-        return pd.DataFrame({"piece": int(t["block"].iloc[0]), "entry": entry, "bound": bound})
+        number = int(t["block"].iloc[0])
+        entry, bound = compose(t, number * per_block * per_piece * span + span)
+        return pd.DataFrame({"piece": number, "entry": entry, "bound": bound})
 
     def inside(key: tuple, t: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         return link(t, int(top["x"].iloc[0])) if len(t) else pd.DataFrame({"piece": [], "x": []}).astype("int64")
@@ -200,7 +202,7 @@ def rate_windows(hits: DataFrame, span: int = SPAN, per_piece: int = PIECE, per_
         return pd.DataFrame({"piece": p, "end": np.array(ends_after(own, span, x), dtype="int64")})
 
     found = cut(_pieces(ticks.withColumn("x", F.lit(0).cast("long")), tables, "piece long, entry long, bound long"))
-    ends = _pieces(ticks.join(incoming(found, span, per_block), "piece"), list_ends, "piece long, end long")
+    ends = _pieces(ticks.join(incoming(found, span, per_piece, per_block), "piece"), list_ends, "piece long, end long")
     # An end serves the hits of its own block and of the one before: within a block of one span there is at most one end.
     ends = ends.select(F.col("end").alias("own"), F.floor(F.col("end") / span).alias("block"))
     rows = hits.withColumn("block", F.floor(F.col("tick") / span))

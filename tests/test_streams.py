@@ -156,8 +156,8 @@ def test_passages_compose(seed):
     parts = [(p, *rates.passage(np.array(t), 100, p * 100 * per)) for p, t in own.items()]
     table = pd.concat([pd.DataFrame({"piece": p, "entry": e, "bound": b}) for p, e, b in parts])
     start = parts[0][0] * 100 * per
-    entry, bound = rates.compose(table)
-    for x in range(start, start + 100):
+    entry, bound = rates.compose(table, start + 100)
+    for x in range(start, start + 101):
         want = x
         for _, e, b in parts:
             want = int(rates.through(e, b, np.array([want]))[0])
