@@ -251,6 +251,16 @@ def border_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slices.with_border(slices.cluster_bounds(clustering.temporal(tracks(spark, sf_dir))))
 
 
+def _border(every: int) -> str:
+    n = every * SLICE_TICKS
+    return f"(first_tick % {n} < 128 or first_tick % {n} > {n - 128} or last_tick % {n} < 128 or last_tick % {n} > {n - 128} or last_tick - first_tick > {n})"
+
+
+@query(f"select cluster_id, case when not {_border(1)} then 0 when not {_border(2)} then 1 when not {_border(4)} then 2 else 3 end as level from b", f"{TEMPORAL}, {BOUNDS}")
+def border_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.with_level(slices.cluster_bounds(clustering.temporal(tracks(spark, sf_dir))), levels=3).select("cluster_id", "level")
+
+
 @query(
     f"""select cluster_id, case when ns % {SLICE_NS} < {SLICE_NS // 2} then 0 else 1 end as pipe, cast(floor((ns + {SLICE_NS // 2}) / {SLICE_NS}) as bigint) as border_id
     from (select *, cast(floor(first_tick * 1.5625 + 0.5) as bigint) as ns from b)""",

@@ -102,16 +102,21 @@ def two_step(df: DataFrame, gap: int = SPLIT_TICKS, area: int = 25) -> DataFrame
     return whole.unionByName(split).drop("__session", "__area", "__key")
 
 
-def halo_boxes(df: DataFrame, window_ns: float = 1000.0, threshold: float = 120.0) -> DataFrame:
+def halo_boxes(df: DataFrame, window_ns: float = 1000.0, threshold: float = 120.0, tile: int = 2) -> DataFrame:
     """Halo bounding-box clustering in buffers of ``window_ns``; a gap longer than that always opens a new buffer."""
     window = ticks(window_ns)
 
     def kernel(session: np.ndarray, h: dict[str, np.ndarray]) -> np.ndarray:
-        return kernels.each_session(session, lambda *c: kernels.halo_boxes(*c, window, threshold), h["tick"], h["x"], h["y"], h["e"])
+        return kernels.each_session(session, lambda *c: kernels.halo_boxes(*c, window, threshold, tile=tile), h["tick"], h["x"], h["y"], h["e"])
 
     return _by_sessions(df, window + 1, kernel, ("tick", "x", "y", "e"))
 
 
+def strict_halo_boxes(df: DataFrame, window_ns: float = 1000.0) -> DataFrame:
+    """Halo clustering with a lower threshold of 60 keV and tiles of 4 pixels, so that boxes start from more hits and reach further."""
+    return halo_boxes(df, window_ns, threshold=60.0, tile=4)
+
+
 def energy_filtered(clustered: DataFrame, threshold: float = 70.0) -> DataFrame:
     """The hits of clusters with at least one hit above ``threshold`` keV."""
     hot = F.max("e").over(Window.partitionBy("cluster_id"))

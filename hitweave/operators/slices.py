@@ -42,11 +42,25 @@ def cluster_bounds(clustered: DataFrame, extra: list[Column] | None = None) -> D
     )
 
 
+def _on_border(margin: int, every: int = 1) -> Column:
+    """Whether an edge of blocks of so many slices lies within the margin of a cluster's first or last hit, or inside it."""
+    first, last, width = F.col("first_tick"), F.col("last_tick"), every * SLICE_TICKS
+    near = lambda t: (t % width < margin) | (t % width > width - margin)
+    return near(first) | near(last) | (last - first > width)
+
+
 def with_border(bounds: DataFrame, margin: int = JOIN_TICKS) -> DataFrame:
     """Clusters with flag border: a slice's edge lies within the margin of their first or last hit, or inside them."""
-    first, last = F.col("first_tick"), F.col("last_tick")
-    near = lambda t: (t % SLICE_TICKS < margin) | (t % SLICE_TICKS > SLICE_TICKS - margin)
-    return bounds.withColumn("border", near(first) | near(last) | (last - first > SLICE_TICKS))
+    return bounds.withColumn("border", _on_border(margin))
+
+
+def with_level(bounds: DataFrame, levels: int = 2, margin: int = JOIN_TICKS) -> DataFrame:
+    """Clusters with the number of levels (0 to ``levels``) of a merging tree that have to look at them.
+
+    Level n joins blocks of 2 ** (n - 1) slices; what lies on no edge of such blocks is finished before it.
+    """
+    flags = [_on_border(margin, 1 << n).cast("int") for n in range(levels)]
+    return bounds.withColumn("level", reduce(lambda x, y: x + y, flags, F.lit(0)))
 
 
 def two_way(bounds: DataFrame) -> DataFrame:

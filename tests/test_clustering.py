@@ -151,6 +151,22 @@ def test_halo_draws_in_the_box(spark):
     assert by[9, 9] == by[10, 10] == by[12, 12] == by[14, 14] != by[100, 100]
 
 
+def test_strict_halo_starts_from_more_hits(spark):
+    hits = [(0, 10, 10, 70.0), (10, 15, 10, 70.0), (20, 100, 100, 5.0)]
+    df = spark.createDataFrame(hits, HIT)
+    strict = {(r["x"], r["y"]): r["cluster_id"] for r in clustering.strict_halo_boxes(df).collect()}
+    # pixels 10 and 15 lie in neighbouring tiles of 4, but not of 2
+    assert strict[10, 10] == strict[15, 10] != strict[100, 100]
+    assert len({r["cluster_id"] for r in clustering.halo_boxes(df).collect()}) == 3
+
+
+def test_levels_of_a_merging_tree(spark):
+    width = slices.SLICE_TICKS
+    bounds = [(1, width // 2, width // 2 + 5), (2, width - 3, width + 3), (3, 2 * width - 300, 2 * width - 100), (4, 4 * width + 1, 4 * width + 9), (5, 3 * width - 200, 6 * width - 200)]
+    rows = slices.with_level(spark.createDataFrame(bounds, "cluster_id long, first_tick long, last_tick long"), levels=3).collect()
+    assert {r["cluster_id"]: r["level"] for r in rows} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 2}
+
+
 def test_halo_buffers_are_separate(spark):
     hits = [(0, 10, 10, 200.0), (640, 50, 50, 1.0), (641, 50, 50, 1.0)]
     rows = clustering.halo_boxes(spark.createDataFrame(hits, HIT)).collect()
