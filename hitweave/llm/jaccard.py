@@ -5,7 +5,8 @@ in common, in any order that holds for all sets.  The order here is by hash, wit
 are frequent in the corpus last, so that common lines don't bring all their texts together.  Equal
 sets are one node.
 
-Pairs are searched in rounds.  In the first ones each node is held against one other: every prefix
+Pairs that are given as candidates (by SimHash in the pipeline) are compared first.  The rest is searched in rounds, past what is
+in one component already, so that none depends on the candidates.  In the first rounds each node is held against one other: every prefix
 member names the node most typical of it (with most of its own members shared), and a node takes the
 one that is named most often and not yet in its component; that links nearly all of a large group by
 few pairs.  Then all pairs that share a prefix member are searched, but for those already in one
@@ -148,11 +149,11 @@ def frequent_shingles(df: DataFrame, text_col: str, k: int, window: int = WINDOW
     return members, top[order, 1]
 
 
-def with_sets(df: DataFrame, text_col: str, keep: list[str], k: int) -> DataFrame:
-    """Columns ``keep`` and node (the hash of a text's set); where a task meets a node first also size, bits, full (size and all parities) and prefix."""
+def with_sets(df: DataFrame, text_col: str, keep: list[str], k: int, sketch: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """Columns ``keep`` and node (the hash of a text's set); where a task meets a node first also size, bits, full (size and all parities), prefix and fp (``sketch`` of the set)."""
     frequent, times = frequent_shingles(df, text_col, k)
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", node long, size long, bits binary, full binary, prefix array<long>"
-    names = [*keep, "node", "size", "bits", "full", "prefix"]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", node long, size long, bits binary, full binary, prefix array<long>, fp long"
+    names = [*keep, "node", "size", "bits", "full", "prefix", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,14 +162,15 @@ def with_sets(df: DataFrame, text_col: str, keep: list[str], k: int) -> DataFram
             for text in batch.column(len(keep)).to_pylist():
                 s = shingles(text, k)
                 if (node := node_of(s)) in seen:
-                    out.append((node, None, None, None, None))
+                    out.append((node, None, None, None, None, None))
                     continue
                 seen.add(node)
                 words = parities(s)
                 full = np.uint64(len(s)).tobytes() + words.tobytes()
-                out.append((node, len(s), folded(words, GROUP_BITS // 64).tobytes(), full, prefix(s, frequent, times).view(np.int64)))
+                first = prefix(s, frequent, times).view(np.int64)
+                out.append((node, len(s), folded(words, GROUP_BITS // 64).tobytes(), full, first, sketch(s) if sketch else None))
             nodes = np.array([x[0] for x in out], dtype=np.uint64).view(np.int64)
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64()]
             cols = [pa.array(nodes), *(pa.array([x[i + 1] for x in out], t) for i, t in enumerate(kinds))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *cols], names=names)
 
@@ -291,10 +293,22 @@ def _text_test(x: np.ndarray, y: np.ndarray) -> bool:
     return bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], shingle: int = SHINGLE, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Columns id_col, ``keep`` (they tell texts apart) and root for every row of ``df``."""
+def near_duplicates(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    keep: tuple[str, ...],
+    shingle: int = SHINGLE,
+    group_rows: int = GROUP_ROWS,
+    sketch: Callable[[np.ndarray], int] | None = None,
+    candidates: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """Columns id_col, ``keep`` (they tell texts apart) and root for every row of ``df``.
+
+    ``candidates`` gives pairs (a, b) for the nodes (columns node, fp) and their ``sketch``; they are compared before all others.
+    """
     own = [id_col, *keep]
-    rows = materialize(with_sets(df, text_col, own, shingle), "sets")
+    rows = materialize(with_sets(df, text_col, own, shingle, sketch), "sets")
     firsts = rows.filter("size is not null")
     count = F.col("size") - F.ceil(F.col("size") * (2 * T_OF) / (T_OF + T_IN)) + 1
     members = firsts.select(F.posexplode("prefix").alias("at", "member"), "node", count.alias("n")).select("member", "node", (F.col("at") < F.col("n")).alias("early"))
@@ -317,6 +331,14 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, keep: tuple[str,
         drop(pairs, close, used, where, texts)
         return out
 
+    def tested(pairs: DataFrame, name: str) -> DataFrame:
+        """The similar ones of materialised pairs; of a pair the node with more partners comes first."""
+        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
+        a_d, b_d = (ends.select(F.col("node").alias(c), F.col("d").alias(f"d{c}")) for c in ("a", "b"))
+        most = F.col("da") >= F.col("db")
+        both = pairs.join(a_d, "a").join(b_d, "b")
+        return links(both.select(F.when(most, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(most, F.col("b")).otherwise(F.col("a")).alias("b")), name)
+
     # the share of a node's members that others have
     own_share = shared.groupBy("node").agg(F.count("*").alias("n")).join(firsts.select("node", F.size("prefix").alias("of")).dropDuplicates(["node"]), "node")
     own_share = materialize(own_share.select("node", (F.col("n") / F.col("of")).alias("typical")), "typical")
@@ -330,6 +352,11 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, keep: tuple[str,
     found: DataFrame | None = None  # links
     tried: DataFrame | None = None
     root: DataFrame | None = None
+    if candidates:
+        pairs = candidates(firsts.select("node", "fp").dropDuplicates(["node"]))
+        tried = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        found = tested(tried, "candidates")
+        root = components.components(found)
     for step in range(ROUNDS):
         group, of = grouped(root)
         group = materialize(group.select("member", "node", "root").join(of, "member").join(own_share, "node"), "group")
@@ -342,12 +369,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, keep: tuple[str,
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         best = pairs.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-        # the node with more partners comes first
         pairs = materialize(best, "round")
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
-        a_d, b_d = (ends.select(F.col("node").alias(c), F.col("d").alias(f"d{c}")) for c in ("a", "b"))
-        turned = pairs.join(a_d, "a").join(b_d, "b").select(F.when(F.col("da") >= F.col("db"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("da") >= F.col("db"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        new = links(turned, "star")
+        new = tested(pairs, "star")
         found = new if found is None else found.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
         root = components.components(found)

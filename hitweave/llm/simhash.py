@@ -9,6 +9,10 @@ than the pair's own distance, pairs that exceed it in any coordinate are discard
 survivors' bits are compared.  A task returns a spanning forest of its links, never all pairs;
 components are joined by star contraction.
 
+``keep_one(exact=True)`` finds its candidates in the same way, among fingerprints of shingle sets: routes are exact up to
+``SURE`` differing bits, within them whatever is no more than ``REACH`` bits apart is held against the texts themselves.  No
+number of bits holds all similar texts, so the rest of them follows by an exact join (``jaccard``).
+
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links
 like any other; equal texts share a fingerprint; a component's id is its smallest doc_id, null
 only if all its ids are null; repeated rows give repeated results; an empty table an empty one.
@@ -33,6 +37,20 @@ SEED = 42
 #: A route of more fingerprints is divided further; also the largest tile's half.
 ROUTE_ROWS = 4096
 PIVOTS = 16
+#: Of candidates for an exact comparison: bits up to which their routes are exact, bits that may differ within a route.
+SURE, REACH = 7, 12
+#: Candidates are linked in steps of so many bits, nearest first.
+STEP = 4
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes, as a signed long; 0 for none."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
+        part = hashes[at : at + (1 << 16)]
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = np.packbits(2 * total > len(hashes), bitorder="little")
+    return int(bits.view(np.int64)[0])
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -50,12 +68,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
         digest = xxhash.xxh64_intdigest
         pairs = zip(starts[: 1 - shingle].tolist() if shingle > 1 else starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)
         hashes = np.array([digest(joined[i:j], SEED) for i, j in pairs], dtype=np.uint64)
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = hashes[at : at + (1 << 16)]
-        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > len(hashes), bitorder="little")
-    return int(bits.view(np.int64)[0])
+    return majority(hashes)
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = 3) -> DataFrame:
@@ -81,53 +94,61 @@ def _flat(label: np.ndarray) -> np.ndarray:
     return label
 
 
-def forest(route: np.ndarray, fps: np.ndarray, max_bits: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, root) that join what is within ``max_bits`` inside each route.
+def forest(route: np.ndarray, fps: np.ndarray, steps: tuple[int, ...], pivots: np.ndarray, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, root) that join what is within the last of ``steps`` bits inside each route, within the first ones first.
 
-    Rows are compared in the order of their distance to the first reference fingerprint; a row
-    leaves once that coordinate alone rules out all later ones of its route.
+    With ``direct`` the links are the pairs that were compared, not those with the root.  Rows are compared in the order of their
+    distance to the first reference fingerprint; a row leaves once that coordinate alone rules out all later ones of its route.
     """
     u = fps.view(np.uint64)
     table = np.bitwise_count(u[:, None] ^ pivots[None, :]).astype(np.int8)
     order = np.lexsort((u, table[:, 0], route))
     route, u, table = route[order], u[order], table[order]
     label = np.arange(len(u))
-    alive, d = np.arange(len(u) - 1), 0
-    while len(alive):
-        d += 1
-        alive = alive[alive + d < len(u)]
-        other = alive + d
-        near = (route[alive] == route[other]) & (table[other, 0] - table[alive, 0] <= max_bits)
-        alive, other = alive[near], other[near]
-        apart = label[alive] != label[other]
-        i, j = alive[apart], other[apart]
-        for p in range(1, table.shape[1]):
-            if not len(i):
-                break
-            left = np.abs(table[i, p] - table[j, p]) <= max_bits
-            i, j = i[left], j[left]
-        linked = np.bitwise_count(u[i] ^ u[j]) <= max_bits
-        joined = False
-        for x, y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
-            while label[x] != x:
-                x = label[x]
-            while label[y] != y:
-                y = label[y]
-            if x != y:
-                label[max(x, y)], joined = min(x, y), True
-        if joined:
-            label = _flat(label)
-    child = np.flatnonzero(label != np.arange(len(u)))
-    return u[child].view(np.int64), u[label[child]].view(np.int64)
-
-
-def _links(batches: Iterator[pa.RecordBatch], max_bits: int, n_pivots: int) -> Iterator[pa.RecordBatch]:
+    pairs: list[tuple[int, int]] = []
+    for bits in steps:
+        alive, d = np.arange(len(u) - 1), 0
+        while len(alive):
+            d += 1
+            alive = alive[alive + d < len(u)]
+            other = alive + d
+            near = (route[alive] == route[other]) & (table[other, 0] - table[alive, 0] <= bits)
+            alive, other = alive[near], other[near]
+            apart = label[alive] != label[other]
+            i, j = alive[apart], other[apart]
+            for p in range(1, table.shape[1]):
+                if not len(i):
+                    break
+                left = np.abs(table[i, p] - table[j, p]) <= bits
+                i, j = i[left], j[left]
+            linked = np.bitwise_count(u[i] ^ u[j]) <= bits
+            joined = False
+            for own_x, own_y in zip(i[linked].tolist(), j[linked].tolist(), strict=True):
+                x, y = own_x, own_y
+                while label[x] != x:
+                    x = label[x]
+                while label[y] != y:
+                    y = label[y]
+                if x != y:
+                    label[max(x, y)], joined = min(x, y), True
+                    pairs.append((own_x, own_y))
+            if joined:
+                label = _flat(label)
+    if direct:
+        a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    else:
+        a = np.flatnonzero(label != np.arange(len(u)))
+        b = label[a]
+    return u[a].view(np.int64), u[b].view(np.int64)
+
+
+def _links(batches: Iterator[pa.RecordBatch], steps: tuple[int, ...], n_pivots: int, direct: bool) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by route; whole routes are gathered to some size and searched together."""
     pivots = reference_fingerprints(n_pivots)
     route, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def out(n: int) -> pa.RecordBatch:
-        a, b = forest(route[:n], fps[:n], max_bits, pivots)
+        a, b = forest(route[:n], fps[:n], steps, pivots, direct)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     for batch in batches:
@@ -153,8 +174,13 @@ def _bands(rest: str, bits: int, n: int, parent) -> DataFrame:
     return F.explode(F.array(*out))
 
 
-def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS, n_pivots: int = PIVOTS) -> DataFrame:
-    """A spanning forest (a, b) of the links between distinct fingerprints (column fp)."""
+def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS, n_pivots: int = PIVOTS, reach: int | None = None) -> DataFrame:
+    """A spanning forest (a, b) of the links between distinct fingerprints (column fp).
+
+    With ``reach`` links are compared pairs of up to so many bits, of all within ``max_bits`` and of those beyond that share a
+    route, in each route a forest of near ones first.
+    """
+    steps = (max_bits,) if reach is None else (*range(STEP, reach, STEP), reach)
     n = max_bits + 1
     wide = 64 // n
     level = fps.select("fp", _bands("fp", 64, n, F.lit(0)).alias("at")).select("fp", "at.route", "at.rest")
@@ -179,7 +205,7 @@ def near_links(fps: DataFrame, max_bits: int = 3, route_rows: int = ROUTE_ROWS,
         found = found.unionByName(tiles.select(F.xxhash64("route", F.least("i", "j"), F.greatest("i", "j")).alias("route"), "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _links(batches, max_bits, n_pivots)
+        yield from _links(batches, steps, n_pivots, reach is not None)
 
     parts = found.repartition(F.col("route")).sortWithinPartitions("route")
     return parts.mapInArrow(run, "a long, b long")
@@ -201,12 +227,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(labels, "fp").select(id_col, *keep, "fp", "root", "component_id")
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (columns node, fp) whose fingerprints are near: a forest within each route; those of one fingerprint meet its first node."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    met = near_links(first.select("fp"), SURE, reach=REACH).distinct()
+    of_a, of_b = (first.select(F.col("fp").alias(c), F.col("first").alias(f"node_{c}")) for c in ("a", "b"))
+    apart = met.join(of_a, "a").join(of_b, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    equal = nodes.join(first, "fp").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return apart.unionByName(equal)
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, shingle: int = 3, exact: bool = False) -> DataFrame:
     """One row of each component of near-duplicates, whole: the one with the smallest id (null ids last), of repeated rows any.
 
-    With ``exact`` texts are linked by the exact similarity of their shingle sets (``jaccard.T_OF / jaccard.T_IN`` or more)
-    instead of their fingerprints: at such radii neither bands nor pivots leave fingerprints out.
+    With ``exact`` texts are linked by the similarity of their shingle sets (``jaccard.T_OF / jaccard.T_IN`` or more): candidates
+    by their fingerprints are verified, and what fingerprints don't reach is found by the exact join.
     """
     if exact:
-        return first_of_each(df, id_col, text_col, lambda rows, keep: jaccard.near_duplicates(rows, "id", "text", keep, shingle))
+        return first_of_each(df, id_col, text_col, lambda rows, keep: jaccard.near_duplicates(rows, "id", "text", keep, shingle, sketch=majority, candidates=candidates))
     return first_of_each(df, id_col, text_col, lambda rows, keep: near_duplicates(rows, "id", "text", max_bits, shingle, keep))

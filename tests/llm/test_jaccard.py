@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hitweave.llm import jaccard
+from hitweave.llm import jaccard, simhash
 from tests.llm.test_operators import EDGES, docs, text
 
 
@@ -123,3 +123,40 @@ def test_columns_with_dots(spark):
     df = docs(spark, changed_texts()[:30]).withColumn("a.b", F.lit("mine"))
     kept = corpus_pipeline.drop_near_duplicates(spark, df.unionByName(df), "")
     assert kept.columns == df.columns and kept.count() == len(set(slow_groups(changed_texts()[:30])))
+
+
+@pytest.mark.parametrize("route_rows", [8, 4096])
+def test_candidates_by_pivots(spark, route_rows):
+    """All pairs within the sure radius are joined, by pairs that were compared, and nothing beyond the reach is given."""
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for f in list(fps):
+        for n in range(1, 15):
+            fps.add(f ^ sum(1 << b for b in rng.sample(range(64), n)))
+    fps = sorted(fps)
+    signed = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    got = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long"), simhash.SURE, route_rows, reach=simhash.REACH)
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    pairs = {tuple(sorted((signed[r["a"]], signed[r["b"]]))) for r in got.collect()}
+    assert all(0 < (a ^ b).bit_count() <= simhash.REACH for a, b in pairs)
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    assert all(find(a) == find(b) for a in fps for b in fps if (a ^ b).bit_count() <= simhash.SURE)
+
+
+def test_stage_links_by_fingerprints(spark, monkeypatch):
+    """The stage's links come from SimHash fingerprints and pivots first, two thirds or more of them even for these texts around the limit; the rest is exact."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    given = []
+    true_links = jaccard.components.components
+    monkeypatch.setattr(jaccard.components, "components", lambda links: given.append(links.collect()) or true_links(links))
+    texts = changed_texts()
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(slow_groups(texts)))
+    assert len(given) == 2 and 3 * len(given[0]) >= 2 * len(given[1])
