@@ -11,28 +11,33 @@ from pyspark.sql import functions as F
 
 from hitweave import deploy
 from hitweave.llm import packing, quality, secrets, simhash
-from hitweave.llm.common import materialize, table
+from hitweave.llm.common import bounded_batches, materialize, table
 
 #: The stages can't be expressed in SQL (tokenisers, hashed models); tests compare them with brute force.
 ORACLE_SQL = None
 
 
+def _prepare(spark: SparkSession) -> None:
+    deploy.ship(spark)
+    bounded_batches(spark)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling draws; those it rejects go."""
-    deploy.ship(spark)
+    _prepare(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return quality.resample(docs, model, weights=False)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word Jaccard of 0.8 or more): the one with the smallest id."""
-    deploy.ship(spark)
+    _prepare(spark)
     return simhash.keep_one(docs, shingle=5, exact=True)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced; n_chars follows the text."""
-    deploy.ship(spark)
+    _prepare(spark)
     out = secrets.redact(docs, F.col("source"), F.col("lang"))
     changed = F.col("text").isNotNull() & F.col("n_chars").isNotNull()
     return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -42,7 +47,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of the documents with their places in sequences of at most 1024 tokens."""
     from public_tokenizers import path
 
-    deploy.ship(spark)
+    _prepare(spark)
     return packing.pack(docs, path("byte_bpe_50k.json"))
 
 

@@ -16,9 +16,21 @@ from pyspark.sql import functions as F
 FILE_ROWS = 50_000
 #: Narrow rows (a few longs) that may be broadcast; longer tables are joined by shuffles.
 BROADCAST_ROWS = 1 << 19
+#: Bytes of an Arrow batch, about: Spark counts rows only (10,000), and so many texts may take any size.
+BATCH_BYTES = 1 << 21
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 _OWN: dict[str, str] = {}
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on Python functions of the session get batches of about ``BATCH_BYTES`` at most, unless it has a bound of its own.
+
+    Workers keep the memory of their largest batch, and so do the executor's buffers.  It stays set, as results are evaluated later.
+    """
+    if spark.conf.get(_BATCH_KEY, None) is None:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one if all runs in this process, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

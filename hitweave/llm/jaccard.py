@@ -53,6 +53,8 @@ GROUP_ROWS = 2048
 ROUNDS = 2
 #: Partners of one node that are compared in one piece.
 PARTNERS = 256
+#: Pairs of a task's groups that are held at once, about, and pieces they are held in.
+PAIRS, PIECES = 1 << 17, 20_000
 _MUL = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(256)], dtype=np.uint64)
 
 
@@ -126,9 +128,10 @@ def frequent_shingles(df: DataFrame, text_col: str, k: int, window: int = WINDOW
         n = 0
 
         def out() -> pa.RecordBatch:
-            members, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-            members, times = members[times > 1], times[times > 1]
-            return pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), pa.array(times.astype(np.int64))], names=["s", "n"])
+            every = np.concatenate([np.zeros(0, np.uint64), *held])
+            every.sort()
+            members, more = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)  # what repeats, less one of each
+            return pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), pa.array(more.astype(np.int64) + 1)], names=["s", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -217,12 +220,17 @@ def _near(i: int, j: np.ndarray, size: np.ndarray, words: list[np.ndarray], shor
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different roots within groups that pass the bounds; rows come sorted by group."""
+    """Pairs (a, b) of different roots within groups that pass the bounds, some repeatedly; rows come sorted by group."""
 
-    def out(group, node, root, size, flag, bits) -> pa.RecordBatch:
+    def given(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    def out(group, node, root, size, flag, bits) -> Iterator[pa.RecordBatch]:
         words = [np.frombuffer(b, dtype=np.uint64) for b in bits]
         short = np.stack([folded(w, BITS // 64) for w in words])
-        found = [np.zeros((0, 2), np.int64)]
+        found: list[np.ndarray] = []
+        n = 0
         edges = np.r_[0, np.flatnonzero(np.diff(group)) + 1, len(group)]
         for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             for i in range(x, y - 1 if (root[x:y] != root[x]).any() else x):
@@ -232,20 +240,21 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 j = _near(i, j, size, words, short) if len(j) else j
                 if len(j):
                     found.append(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], axis=1))
-            if len(found) > 20_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+                    n += len(j)
+                if n >= PAIRS or len(found) >= PIECES:
+                    yield given(found)
+                    found, n = [], 0
+        yield given(found)
 
     held = None
     for batch in batches:
         new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
         held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
         if len(held[0]) >= 1 << 15 and (n := int(np.searchsorted(held[0], held[0][-1]))):
-            yield out(*(x[:n] for x in held))
+            yield from out(*(x[:n] for x in held))
             held = [x[n:] for x in held]
     if held and len(held[0]):
-        yield out(*held)
+        yield from out(*held)
 
 
 def compared(pairs: DataFrame, values: DataFrame, load: Callable, test: Callable) -> DataFrame:

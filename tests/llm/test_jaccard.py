@@ -160,3 +160,14 @@ def test_stage_links_by_fingerprints(spark, monkeypatch):
     kept = corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(slow_groups(texts)))
     assert len(given) == 2 and 3 * len(given[0]) >= 2 * len(given[1])
+
+
+def test_pairs_of_a_large_group_are_given_out_in_parts():
+    """A group of equal bounds: all its pairs, but never all held at once."""
+    n = 800
+    columns = [np.zeros(n, np.int64), np.arange(n), np.arange(n), np.full(n, 100), np.ones(n, bool), [bytes(jaccard.BITS // 8)] * n]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["at", "node", "root", "size", "early", "bits"])
+    out = list(jaccard._across(iter([batch])))
+    pairs = [p for b in out for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, n)]
+    assert max(b.num_rows for b in out) <= jaccard.PAIRS + n

@@ -11,9 +11,12 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
+from hitweave.llm import common
 from tests.llm.test_jaccard import slow_groups
 from tests.llm.test_operators import DOC, slow_base, text
 
@@ -87,6 +90,30 @@ def test_stages_on_an_empty_table(spark, folder):
         assert stage(spark, docs, path).count() == 0
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_get_batches_of_bounded_size(spark, folder, stage):
+    """Long texts go to Python by bytes, not by 10,000 rows; a bound that the session has already stays."""
+    path, _, _ = folder
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def largest():
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+        texts = spark.range(0, 6000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("text"))
+        return texts.mapInArrow(run, "n long").agg(F.max("n"), F.sum("n")).first()
+
+    for own in (None, "100000"):
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+        try:
+            stage(spark, spark.read.parquet(f"{path}/documents.parquet").limit(0), path)
+            most, every = largest()
+        finally:
+            spark.conf.unset(key)
+        assert most <= (common.BATCH_BYTES if own is None else int(own)) + 10_000 and every >= 6000 * 2000
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without this subpackage the entry still imports, with the other queries."""
     copy = tmp_path / "repo"
